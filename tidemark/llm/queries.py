@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import minhash
+from tidemark.llm import minhash, pii
+from tidemark.llm.scratch import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +16,15 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85, bands=25, rows=5)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.candidates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "candidates")
+    found = Scratch(spark, "pii").stage(found, "candidates")
+    return pii.digest(found, pii.fit(pii.vote_counts(found)))
+
+
 QUERIES = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op8_pii": op8_pii,
 }
 
 ORACLES = {
