@@ -31,7 +31,18 @@ from tidemark.llm.components import connected_components
 from tidemark.llm.scratch import Scratch
 
 CIRCLE = 1 << 20
-WORD_CACHE = 400_000
+WORD_CACHE = 100_000
+ROWS = 256
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows, so that what a worker builds for one
+    piece stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -93,7 +104,7 @@ class Circulant:
 def _signed(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, circle = WordHashes(), Circulant(bands, rows)
-        for b in batches:
+        for b in sliced(batches):
             n, h1, h2, keys = [], [], [], []
             for text in b.column(1):
                 s = shingle_set(text.as_py(), words, hashes)
@@ -115,7 +126,7 @@ def _signed(words: int, bands: int, rows: int):
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in sliced(batches):
             sets = [shingle_set(t.as_py(), words, hashes).view(np.int64) for t in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
 
