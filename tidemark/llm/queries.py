@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import minhash, pii
+from tidemark.llm import bitplane, minhash, pii, separators
+from tidemark.llm.bpe import vocabulary
 from tidemark.llm.scratch import Scratch
 
 
@@ -12,6 +14,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return separators.token_counts(docs, vocabulary(), _pattern(), end_id=50256)
+
+
+def op4_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "bitplane").path("ids")
+    bitplane.write_ids(_table(spark, sf_dir, "documents"), path, vocabulary(), _pattern())
+    return bitplane.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85, bands=25, rows=5)
 
@@ -23,6 +42,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
+    "op4_token_id_output": op4_token_id_output,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op8_pii": op8_pii,
 }
