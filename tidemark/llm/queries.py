@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitplane, minhash, pii, separators
+from tidemark.llm import bitplane, minhash, pii, separators, toxicity
 from tidemark.llm.bpe import vocabulary
 from tidemark.llm.scratch import Scratch
 
@@ -20,6 +20,18 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        F.size("passages").alias("n_passages"),
+    )
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return separators.token_counts(docs, vocabulary(), _pattern(), end_id=50256)
@@ -42,6 +54,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op4_token_id_output": op4_token_id_output,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
