@@ -11,10 +11,11 @@ raise an estimated similarity; every link is confirmed on the full sets.
 Plan: signatures in one pass over the texts; documents with equal sets fold into
 their smallest doc_id with map-side minima, so a group of copies costs one row a
 task; the bands of what is left go to buckets. Within a bucket every member is
-compared with two leaders, not with all others; members that the verified links
-have not brought into one component yet are then compared across components, so
-no link between different components is lost and a large group costs as many
-comparisons as it has members.
+compared with two leaders, the one that shares most buckets with others and the
+smallest, not with all. Members of buckets that the verified links leave in
+several components are then compared across components, through the rare ends of
+their sets, so no link between components is lost and a large group of copies
+costs few comparisons a member.
 """
 
 from __future__ import annotations
@@ -24,23 +25,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.batches import sliced
 from tidemark.llm.components import connected_components
 from tidemark.llm.scratch import Scratch
 
 CIRCLE = 1 << 20
 WORD_CACHE = 100_000
-ROWS = 256
-
-
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of few rows, so that what a worker builds for one
-    piece stays small."""
-    for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
 
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -146,6 +139,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _across(rest: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) between different labels of ``rest`` (node, label,
+    s), none of the links left out.
+
+    With the shingles of every set in one order, rarest first, two sets at the
+    threshold share a shingle near the front of both: of n shingles within the
+    first n - needed + 1, where needed is the overlap the sizes ask for, and the
+    first one they share leaves at least the needed overlap behind it. A text far
+    from all others has only rare shingles in front and meets nobody. Of a
+    shingle's rows the most frequent label is not joined with itself.
+    """
+    part = percent / (100 + percent)
+    words = rest.select("node", "label", F.size("s").alias("n"), F.explode("s").alias("w"))
+    often = words.groupBy("w").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("node").orderBy("df", "w")
+    front = (
+        words.join(often, "w")
+        .withColumn("i", F.row_number().over(order) - 1)
+        .where((F.col("df") > 1) & (100 * (F.col("n") - F.col("i")) >= percent * F.col("n")))
+        .select("w", "node", "label", "n", "i")
+    )
+    most = front.groupBy("w", "label").agg(F.count("*").alias("c")).groupBy("w").agg(F.max_by("label", "c").alias("most"), F.count("*").alias("labels"))
+    front = front.join(most.where("labels > 1"), "w")
+    left = front.where("label <> most").select("w", *[F.col(c).alias(f"{c}0") for c in ("node", "label", "n", "i")])
+    right = front.select("w", *[F.col(c).alias(f"{c}1") for c in ("node", "label", "n", "i")])
+    fits = (
+        (F.col("label0") != F.col("label1"))
+        & (100 * F.least("n0", "n1") >= percent * F.greatest("n0", "n1"))
+        & (F.least(F.col("n0") - F.col("i0"), F.col("n1") - F.col("i1")) >= F.floor(part * (F.col("n0") + F.col("n1")) - 1e-6))
+    )
+    pairs = left.alias("x").join(right.alias("y"), (F.col("x.w") == F.col("y.w")) & fits)
+    return pairs.select(F.least("node0", "node1").alias("a"), F.greatest("node0", "node1").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = 5,
@@ -181,10 +208,14 @@ def near_duplicates(
     reps = live.join(classes.select("node"), live.doc_id == F.col("node"), "left_semi").select(
         F.col("doc_id").alias("node"), F.explode("keys").alias("key")
     )
-    bucket = reps.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    bucket = reps.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = scratch.stage(reps.join(bucket, "key").distinct(), "shared")
+    weight = shared.groupBy("node").agg(F.sum("size").alias("weight"))
+    lead = shared.join(weight, "node").groupBy("key").agg(F.max_by("node", "weight").alias("l0"), F.min("node").alias("l1"))
     star = (
-        shared.select("node", F.explode(F.array("lo", "hi")).alias("leader"))
+        shared.select("key", "node")
+        .join(lead, "key")
+        .select("node", F.explode(F.array("l0", "l1")).alias("leader"))
         .where("node <> leader")
         .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
         .distinct()
@@ -200,16 +231,9 @@ def near_duplicates(
     links = scratch.stage(_verified(star, sets, percent), "linked0")
     found = connected_components(links, scratch)
     labelled = shared.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("key")
-    rest = labelled.join(open_keys, "key", "left_semi")
-    across = (
-        rest.select("key", F.col("node").alias("a"), F.col("label").alias("la"))
-        .join(rest.select("key", F.col("node").alias("b"), F.col("label").alias("lb")), "key")
-        .where("la <> lb and a < b")
-        .select("a", "b")
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("m0"), F.max("label").alias("m1")).where("m0 < m1").select("key")
+    rest = scratch.stage(labelled.join(open_keys, "key", "left_semi").select("node", "label").distinct(), "rest")
+    across = _across(rest.join(sets, "node"), percent).join(star, ["a", "b"], "left_anti")
     more = _verified(across, sets, percent)
     found = connected_components(links.unionAll(more), scratch)
     of_class = classes.join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
