@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitplane, minhash, pii, separators, toxicity
+from tidemark.llm import bitplane, minhash, pieces, pii, separators, toxicity
 from tidemark.llm.bpe import vocabulary
 from tidemark.llm.scratch import Scratch
 
@@ -37,6 +37,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.token_counts(docs, vocabulary(), _pattern(), end_id=50256)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = pieces.model_path()
+    coded = pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), path)
+    return pieces.decode(coded, path).select(
+        "doc_id",
+        (F.octet_length("piece_ids") / 2).cast("long").alias("n_pieces"),
+        F.crc32("piece_ids").alias("ids_crc32"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.col("text")).alias("lossless"),
+    )
+
+
 def op4_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "bitplane").path("ids")
     bitplane.write_ids(_table(spark, sf_dir, "documents"), path, vocabulary(), _pattern())
@@ -56,6 +68,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_token_id_output": op4_token_id_output,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op8_pii": op8_pii,
