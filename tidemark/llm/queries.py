@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitplane, minhash, pieces, pii, separators, toxicity
+from tidemark.llm import bitplane, minhash, mixing, pieces, pii, separators, toxicity
 from tidemark.llm.bpe import vocabulary
 from tidemark.llm.scratch import Scratch
 
@@ -59,6 +59,11 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85, bands=25, rows=5)
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.sized(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "size")
+    return mixing.plan(docs).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.candidates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "candidates")
     found = Scratch(spark, "pii").stage(found, "candidates")
@@ -71,6 +76,7 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_token_id_output": op4_token_id_output,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_source_mixing": op6_source_mixing,
     "op8_pii": op8_pii,
 }
 
