@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitplane, minhash, mixing, pieces, pii, separators, toxicity
+from tidemark.llm import bitplane, minhash, mixing, pieces, pii, separators, suffixes, toxicity
 from tidemark.llm.bpe import vocabulary
 from tidemark.llm.scratch import Scratch
 
@@ -64,6 +64,11 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(docs).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.without_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.candidates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "candidates")
     found = Scratch(spark, "pii").stage(found, "candidates")
@@ -77,6 +82,7 @@ QUERIES = {
     "op4_token_id_output": op4_token_id_output,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_source_mixing": op6_source_mixing,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_pii": op8_pii,
 }
 
