@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitplane, minhash, mixing, pieces, pii, separators, suffixes, toxicity
+from tidemark.llm import bitplane, media, minhash, mixing, pieces, pii, separators, suffixes, toxicity
 from tidemark.llm.bpe import vocabulary
 from tidemark.llm.scratch import Scratch
 
@@ -75,6 +75,23 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(found, pii.fit(pii.vote_counts(found)))
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.audio_features(media.store(_table(spark, sf_dir, "documents")))
+    raw = media.samples()
+    values = F.expr("aggregate(tensors, X'', (a, t) -> unhex(sha2(concat(a, t.values), 256)))")
+    spans = F.expr("array_join(transform(segments, s -> concat(s.start, '-', s.end)), ',')")
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length(raw).cast("long").alias("payload_bytes"),
+        F.sha2(raw, 256).alias("payload_sha256"),
+        F.crc32(F.substring(raw, -64, 64)).alias("tail_crc32"),
+        F.octet_length("wav").cast("long").alias("media_bytes"),
+        F.sha2("wav", 256).alias("media_sha256"),
+        F.concat_ws(":", "n_frames", F.size("tensors"), F.lower(F.hex(values)), F.size("segments"), F.sha2(spans, 256)).alias("feature"),
+    )
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -84,6 +101,7 @@ QUERIES = {
     "op6_source_mixing": op6_source_mixing,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_pii": op8_pii,
+    "op9_media": op9_media,
 }
 
 ORACLES = {
