@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitplane, media, minhash, mixing, pieces, pii, separators, suffixes, toxicity
+from tidemark.llm import bitplane, media, minhash, mixing, neighbours, pieces, pii, separators, suffixes, toxicity
 from tidemark.llm.bpe import vocabulary
 from tidemark.llm.scratch import Scratch
 
@@ -92,6 +92,11 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -102,6 +107,7 @@ QUERIES = {
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_pii": op8_pii,
     "op9_media": op9_media,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 ORACLES = {
