@@ -44,14 +44,14 @@ def test_planes_round_trip(kind, dtype):
         assert (bitplane.from_planes(planes, n, ids.dtype.itemsize, kind) == ids).all()
 
 
-@pytest.mark.parametrize("kind,chunk", [("byte", 1 << 16), ("bit", 64), ("byte", 1)])
-def test_files_round_trip(spark, tmp_path, kind, chunk):
+@pytest.mark.parametrize("kind,chunk,block", [("byte", 1 << 16, 1 << 14), ("bit", 64, 10), ("byte", 1, 1)])
+def test_files_round_trip(spark, tmp_path, kind, chunk, block):
     texts = corpus(60)[-130:] + [None, "last"]
     order = list(range(len(texts)))
     random.Random(2).shuffle(order)
     docs = spark.createDataFrame([(i, texts[i], i) for i in order], "doc_id long, text string, start int").repartition(5)
     path = str(tmp_path / "ids")
-    bitplane.write_ids(docs, path, vocabulary(), PATTERN, chunk=chunk, kind=kind)
+    bitplane.write_ids(docs, path, vocabulary(), PATTERN, chunk=chunk, block=block, kind=kind)
     got = sorted(bitplane.read_ids(spark, path).collect(), key=lambda r: r.doc_id)
     at, tok = 0, library()
     for i, r in enumerate(got):
@@ -102,3 +102,27 @@ def test_counts_of_documents(spark, tmp_path):
     assert got == {i: len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
     none = spark.createDataFrame([], "doc_id long, text string")
     assert separators.token_counts(none, vocabulary(), PATTERN, 50256).count() == 0
+
+
+def test_spelled_out_classes():
+    import re
+
+    import regex
+
+    from tidemark.llm import bpe
+
+    plain = [chr(c) for c in range(0x2100) if not bpe._ODD.search(chr(c))]
+    for one, full in ((f"[{bpe._LETTER}]", r"\p{L}"), (f"[{bpe._NUMBER}]", r"\p{N}"), (f"[{bpe._BLANK}]", r"\s")):
+        assert [c for c in plain if re.match(one, c)] == [c for c in plain if regex.match(full, c)]
+    assert bpe._PATTERN == PATTERN
+
+
+def test_cache_generations(monkeypatch):
+    from tidemark.llm import bpe
+
+    monkeypatch.setattr(bpe, "CACHE", 50)
+    texts = corpus(300)
+    coder, tok = Encoder(vocabulary(), PATTERN), library()
+    for i in range(0, len(texts), 7):
+        part = texts[i : i + 7]
+        assert [np.frombuffer(g, "<u2").tolist() for g in coder.batch(part)] == [e.ids for e in tok.encode_batch_fast(part, add_special_tokens=False)]

@@ -1,13 +1,13 @@
 """Token ids in a bit-plane file format.
 
 A folder holds one record a chunk (a Parquet row, so that every store and the
-commit protocol of the writer apply). A chunk has up to ``CHUNK`` ids of one
-shard; the ids are transposed into byte planes (or bit planes), each plane is
-compressed with zstandard on its own, and the record's other fields are the
+commit protocol of the writer apply). A chunk has whole documents of one shard,
+``CHUNK`` ids or a little more. Its ids are cut into blocks of ``BLOCK``, the last
+one shorter; each block is transposed into byte planes (or bit planes) and each
+plane is compressed with zstandard on its own. The record's other fields are the
 index: shard, chunk number, position of the first id in the shard, number of ids,
-bytes of each plane, the documents that begin here and where, and the document
-that is open when the chunk begins. Shards hold ascending doc_id; a chunk can be
-read without any other.
+bytes of each plane of each block, and the documents and where they begin. Shards
+hold ascending doc_id; a chunk, and within it a block, can be read without others.
 """
 
 from __future__ import annotations
@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidemark.llm.batches import sliced
-from tidemark.llm.bpe import Encoder
+from tidemark.llm.bpe import encoder
 
 CHUNK = 1 << 16
+BLOCK = 1 << 14
 LEVEL = 1
 SCHEMA = (
-    "shard int, chunk int, first long, n_ids int, width int, kind string, plane_bytes array<int>, payload binary, "
-    "doc_ids array<long>, doc_starts array<int>, open_doc_id long, open_start long, closed boolean"
+    "shard int, chunk int, first long, n_ids int, block int, width int, kind string, plane_bytes array<int>, payload binary, "
+    "doc_ids array<long>, doc_starts array<int>"
 )
 
 
@@ -50,57 +51,57 @@ def from_planes(planes: list[bytes], n: int, width: int, kind: str = "byte") ->
     return np.ascontiguousarray(octets).reshape(-1).view(f"<u{width}")
 
 
-def _writer(path: str, pattern: str, end_id: int, chunk: int, kind: str, dtype: type):
+def _writer(path: str, pattern: str, end_id: int, chunk: int, block: int, kind: str, dtype: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         from pyspark import TaskContext
 
-        coder, press = Encoder(path, pattern, dtype), zstandard.ZstdCompressor(level=LEVEL)
+        coder, press = encoder(path, pattern, dtype), zstandard.ZstdCompressor(level=LEVEL)
         shard, width = TaskContext.get().partitionId(), np.dtype(dtype).itemsize
         end = np.array([end_id], coder.dtype).tobytes()
-        held, n, first, number = [], 0, 0, 0
-        starts: list[tuple[int | None, int]] = []  # documents that begin at or after `first`, positions in the shard
-        opened: tuple[int | None, int] = (None, 0)
-
-        def record(data: bytes, closed: bool) -> pa.RecordBatch:
-            nonlocal first, number, opened, starts
-            ids = np.frombuffer(data, coder.dtype)
-            planes = [press.compress(p) for p in to_planes(ids, kind)]
-            here = [s for s in starts if s[1] < first + len(ids)]
+        held, starts, doc_ids, n, first, number = [], [], [], 0, 0, 0
+
+        def record() -> pa.RecordBatch:
+            ids = np.frombuffer(b"".join(held), coder.dtype)
+            planes = [press.compress(p) for i in range(0, n, block) for p in to_planes(ids[i : i + block], kind)]
             row = {
-                "shard": shard, "chunk": number, "first": first, "n_ids": len(ids), "width": width, "kind": kind, "plane_bytes": [len(p) for p in planes],
-                "payload": b"".join(planes), "doc_ids": [s[0] for s in here], "doc_starts": [s[1] - first for s in here],
-                "open_doc_id": opened[0], "open_start": opened[1], "closed": closed,
+                "shard": shard, "chunk": number, "first": first, "n_ids": n, "block": block, "width": width, "kind": kind,
+                "plane_bytes": [len(p) for p in planes], "payload": b"".join(planes), "doc_ids": doc_ids, "doc_starts": starts,
             }
-            opened, starts = (here or [opened])[-1], starts[len(here) :]
-            first, number = first + len(ids), number + 1
             return pa.RecordBatch.from_pylist([row], schema=_arrow())
 
         for b in sliced(batches):
             for doc_id, ids in zip(b.column(0).to_pylist(), coder.batch(b.column(1).to_pylist()), strict=True):
-                starts.append((doc_id, first + n))
+                starts.append(n)
+                doc_ids.append(doc_id)
                 held += (ids, end)
                 n += len(ids) // width + 1
                 if n >= chunk:
-                    data = b"".join(held)
-                    while n >= chunk:
-                        yield record(data[: chunk * width], n == chunk)
-                        data, n = data[chunk * width :], n - chunk
-                    held = [data]
+                    yield record()
+                    first, number = first + n, number + 1
+                    held, starts, doc_ids, n = [], [], [], 0
         if n:
-            yield record(b"".join(held), True)
+            yield record()
 
     return run
 
 
 def _arrow() -> pa.Schema:
     i, j, s = pa.int32(), pa.int64(), pa.string()
-    kinds = (i, i, j, i, i, s, pa.list_(i), pa.binary(), pa.list_(j), pa.list_(i), j, j, pa.bool_())
+    kinds = (i, i, j, i, i, i, s, pa.list_(i), pa.binary(), pa.list_(j), pa.list_(i))
     return pa.schema(list(zip((x.split()[0] for x in SCHEMA.split(", ")), kinds, strict=True)))
 
 
 def write_ids(
-    docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int = 2, chunk: int = CHUNK, kind: str = "byte", dtype: type = np.uint16
+    docs: DataFrame,
+    path: str,
+    tokenizer: str,
+    pattern: str,
+    end_id: int = 2,
+    chunk: int = CHUNK,
+    block: int = BLOCK,
+    kind: str = "byte",
+    dtype: type = np.uint16,
 ) -> None:
     """Encodes ``docs`` (doc_id, text), appends ``end_id`` to each document and
     writes all ids in ascending doc_id order, null first. Null text is empty; rows
@@ -111,60 +112,49 @@ def write_ids(
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         .repartitionByRange(shards, "doc_id")
         .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(_writer(tokenizer, pattern, end_id, chunk, kind, dtype), SCHEMA)
+        .mapInArrow(_writer(tokenizer, pattern, end_id, chunk, block, kind, dtype), SCHEMA)
         .write.option("compression", "uncompressed")
         .parquet(path)
     )
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     expand = zstandard.ZstdDecompressor()
-    for b in batches:
-        for row in b.to_pylist():
-            planes, at = [], 0
-            for size in row["plane_bytes"]:
-                planes.append(expand.decompress(row["payload"][at : at + size]))
-                at += size
-            ids = from_planes(planes, row["n_ids"], row["width"], row["kind"]).astype("<u4")
-            cuts = row["doc_starts"]
-            owners = list(zip(row["doc_ids"], (row["first"] + c for c in cuts), strict=True))
-            if not cuts or cuts[0] > 0:
-                cuts, owners = [0, *cuts], [(row["open_doc_id"], row["open_start"]), *owners]
-            ends = [*cuts[1:], len(ids)]
-            last = len(cuts) - 1
-            whole = [row["first"] + c == o[1] and (k < last or row["closed"]) for k, (c, o) in enumerate(zip(cuts, owners, strict=True))]
-            yield pa.record_batch(
-                [
-                    pa.array([o[0] for o in owners], pa.int64()),
-                    pa.array([row["shard"]] * len(cuts), pa.int32()),
-                    pa.array([o[1] for o in owners], pa.int64()),
-                    pa.array([row["first"] + c for c in cuts], pa.int64()),
-                    pa.array([ids[c:e].tobytes() for c, e in zip(cuts, ends, strict=True)], pa.binary()),
-                    pa.array(whole, pa.bool_()),
-                ],
-                ["doc_id", "shard", "at", "piece", "ids", "whole"],
-            )
+    for b in sliced(batches, 1):
+        row = b.to_pylist()[0]
+        n, size, width, kind = row["n_ids"], row["block"], row["width"], row["kind"]
+        sizes, each, at, parts = iter(row["plane_bytes"]), width * (1 if kind == "byte" else 8), 0, []
+        for i in range(0, n, size):
+            planes = []
+            for _ in range(each):
+                length = next(sizes)
+                planes.append(expand.decompress(row["payload"][at : at + length]))
+                at += length
+            parts.append(from_planes(planes, min(size, n - i), width, kind))
+        ids = np.concatenate(parts).astype("<u4")
+        cuts = row["doc_starts"]
+        yield pa.record_batch(
+            [
+                pa.array(row["doc_ids"], pa.int64()),
+                pa.array([row["shard"]] * len(cuts), pa.int32()),
+                pa.array([row["first"] + c for c in cuts], pa.int64()),
+                pa.array([ids[c:e].tobytes() for c, e in zip(cuts, [*cuts[1:], n], strict=True)], pa.binary()),
+            ],
+            ["doc_id", "shard", "at", "ids"],
+        )
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document in a folder of
     ``write_ids``: start counts the ids of all documents before it, ids are
-    little-endian unsigned 32-bit integers, the end id included. Only documents
-    cut by a chunk border are shuffled."""
+    little-endian unsigned 32-bit integers, the end id included."""
     chunks = spark.read.schema(SCHEMA).parquet(path)
     sums = chunks.groupBy("shard").agg(F.sum("n_ids").alias("total"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     base = sums.select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    pieces = chunks.mapInArrow(_pieces, "doc_id long, shard int, at long, piece long, ids binary, whole boolean")
-    cut = (
-        pieces.where("not whole")
-        .groupBy("shard", "at")
-        .agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("piece", "ids"))).alias("p"))
-        .select("doc_id", "shard", "at", F.expr("aggregate(p, X'', (a, x) -> concat(a, x.ids))").alias("ids"))
-    )
-    docs = pieces.where("whole").select("doc_id", "shard", "at", "ids").unionAll(cut)
+    docs = chunks.mapInArrow(_documents, "doc_id long, shard int, at long, ids binary")
     return docs.join(base, "shard").select(
         "doc_id", (F.col("base") + F.col("at")).alias("start"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids"
     )

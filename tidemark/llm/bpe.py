@@ -1,23 +1,45 @@
-"""Byte-pair ids through the tokenizers library, one call per distinct word.
+"""Byte-pair ids through the tokenizers library, one encoding a distinct word.
 
 A byte-level BPE model cuts a text into words with a fixed pattern and merges
 within words only, so the ids of a text are those of its words in a row. Words
-repeat; the library is asked once for each word that the bounded cache does not
-hold. Texts with characters whose class could differ between Unicode versions,
-or with the text of a special token, go to the library whole.
+repeat; the library's model merges those that the bounded cache does not hold,
+many in one text with a line feed as a word of its own between them.
+Texts with characters outside ``_PLAIN``, whose class could differ between
+Unicode versions, or with the text of a special token, go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
-CACHE = 250_000
-# Latin letters, general punctuation and the euro sign; no control characters but
-# tab, line feed, form feed and carriage return.
-_ODD = re.compile("[^\t\n\f\r\x20-\x7e\xa0-ɏ‐-•…€]|<\\|")
+CACHE = 250_000  # words of a generation; two are held
+# Latin letters up to U+024F, general punctuation, the euro sign; of the control
+# characters tab, line feed, form feed and carriage return.
+_PLAIN = "\t\n\f\r\x20-\x7e\xa0-\u024f\u2010-\u2022\u2026\u20ac"
+_ODD = re.compile(f"[^{_PLAIN}]")
+_LETTER, _NUMBER, _BLANK = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", r" \t\n\f\r\xa0"
+# the model's word pattern with its classes spelled out for plain characters
+_WORDS = re.compile(
+    f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
+)
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _alphabet() -> dict[int, str]:
+    """Byte -> its character in byte-level vocabularies: printable Latin-1 stands
+    for itself, the others for U+0100 onward in order. A line feed gets blanks
+    around, which makes it a word."""
+    own = {b for b in range(256) if 33 <= b < 127 or 161 <= b and b != 173}
+    others = iter(range(256, 512))
+    out = {b: chr(b) if b in own else chr(next(others)) for b in range(256)}
+    return out | {10: f" {out[10]} "}
+
+
+_ALPHABET = _alphabet()
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -26,35 +48,71 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, pattern: str, dtype: type = np.uint16, plain_specials: bool = False) -> Encoder:
+    """One encoder a worker process: what it has learned serves its later tasks."""
+    return Encoder(path, pattern, dtype, plain_specials)
+
+
 class Encoder:
     """``batch(texts)`` -> the ids of each text as little-endian bytes of
-    ``dtype``, without special tokens. Null counts as empty."""
+    ``dtype``, without special tokens. Null counts as empty. ``pattern`` is the
+    model's word pattern; one that is not known here sends all texts whole."""
 
     def __init__(self, path: str, pattern: str, dtype: type = np.uint16, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         if plain_specials:
             self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > np.iinfo(dtype).max + 1:
             raise ValueError("the vocabulary does not fit the id type")
-        self.dtype, self.words, self.cache = np.dtype(dtype).newbyteorder("<"), regex.compile(pattern).findall, {}
+        self.dtype, self.by_word = np.dtype(dtype).newbyteorder("<"), pattern == _PATTERN
+        self.new, self.old = {}, {}
+        self.model = Tokenizer(self.tokenizer.model)  # for words in the model's own alphabet
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
+    def _in_lines(self, words: list[str]) -> list[bytes]:
+        """Ids of words without line feeds, as the lines of one text. The model's
+        alphabet has a character for each byte and none of them is blank."""
+        if not words:
+            return []
+        text = "\n".join(words).encode().decode("latin-1").translate(_ALPHABET)
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        cuts = np.flatnonzero(ids == self.line[0])
+        if len(self.line) != 1 or len(cuts) != len(words) - 1:
+            return self._whole(words)
+        raw, size = ids.tobytes(), ids.itemsize
+        begin, end = np.concatenate(([0], cuts + 1)) * size, np.append(cuts, len(ids)) * size
+        return [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.new) > CACHE:
+            self.old, self.new = self.new, {}
+        new, old, missing = self.new, self.old, []
+        for w in words - new.keys():
+            got = old.get(w)
+            if got is None:
+                missing.append(w)
+            else:
+                new[w] = got
+        blank = [w for w in missing if w.isspace()]
+        plain = [w for w in missing if not w.isspace()]
+        new.update(zip(blank, self._whole(blank), strict=True))
+        for i in range(0, len(plain), 512):
+            part = plain[i : i + 512]
+            new.update(zip(part, self._in_lines(part), strict=True))
+
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.words(t) if t and not _ODD.search(t) else None for t in texts]
-        cache = self.cache
-        new = list({w for ws in cut if ws for w in ws if w not in cache})
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = list({w for ws in cut if ws for w in ws})
-        cache.update(zip(new, self._bytes(new), strict=True))
+        cut = [_WORDS.findall(t) if t and self.by_word and "<|" not in t and not _ODD.search(t) else None for t in texts]
+        self._learn(set().union(*(ws for ws in cut if ws)))
         odd = [t for t, ws in zip(texts, cut, strict=True) if t and ws is None]
-        whole = iter(self._bytes(odd) if odd else ())
-        get = cache.__getitem__
+        whole = iter(self._whole(odd) if odd else ())
+        get = self.new.__getitem__
         return [b"" if not t else b"".join(map(get, ws)) if ws is not None else next(whole) for t, ws in zip(texts, cut, strict=True)]

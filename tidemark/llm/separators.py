@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import sliced
-from tidemark.llm.bpe import Encoder
+from tidemark.llm.bpe import encoder
 from tidemark.llm.scratch import Scratch
 
 BLOCK = 1 << 18
@@ -26,7 +26,7 @@ BLOCK = 1 << 18
 
 def _encoded(tokenizer: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(tokenizer, pattern, np.uint16, plain_specials=True)
+        coder = encoder(tokenizer, pattern, np.uint16, True)
         for b in sliced(batches):
             yield pa.record_batch([pa.array(coder.batch(b.column(0).to_pylist()), pa.binary())], ["ids"])
 
