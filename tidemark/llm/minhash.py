@@ -244,3 +244,19 @@ def near_duplicates(
     return linked.select("doc_id", "n_shingles", own.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
+
+
+def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...), all columns, less those of near
+    duplicates: of each group the document with the smallest doc_id stays. Of rows
+    that share a doc_id one stays, the first by its columns' text; rows with a null
+    doc_id all stay."""
+    found = Scratch(docs.sparkSession, "deduplicated").stage(near_duplicates(docs, words, percent).select("doc_id", "kept"), "kept")
+    left = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return left
+    order = Window.partitionBy("doc_id").orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    again = left.join(twice, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = again.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
+    return left.join(twice, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(first)
