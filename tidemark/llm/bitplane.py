@@ -134,27 +134,22 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at += length
             parts.append(from_planes(planes, min(size, n - i), width, kind))
         ids = np.concatenate(parts).astype("<u4")
-        cuts = row["doc_starts"]
-        yield pa.record_batch(
-            [
-                pa.array(row["doc_ids"], pa.int64()),
-                pa.array([row["shard"]] * len(cuts), pa.int32()),
-                pa.array([row["first"] + c for c in cuts], pa.int64()),
-                pa.array([ids[c:e].tobytes() for c, e in zip(cuts, [*cuts[1:], n], strict=True)], pa.binary()),
-            ],
-            ["doc_id", "shard", "at", "ids"],
-        )
+        offsets = np.append(np.array(row["doc_starts"], np.int32), n) * np.int32(4)
+        texts = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])
+        at = np.array(row["doc_starts"], np.int64) + row["first"] + row["base"]
+        yield pa.record_batch([pa.array(row["doc_ids"], pa.int64()), pa.array(at), texts], ["doc_id", "start", "ids"])
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document in a folder of
     ``write_ids``: start counts the ids of all documents before it, ids are
-    little-endian unsigned 32-bit integers, the end id included."""
+    little-endian unsigned 32-bit integers, the end id included. The shards' places
+    are broadcast: 16 bytes a shard, and there are as many shards as the writer's
+    session had shuffle partitions."""
     chunks = spark.read.schema(SCHEMA).parquet(path)
     sums = chunks.groupBy("shard").agg(F.sum("n_ids").alias("total"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     base = sums.select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    docs = chunks.mapInArrow(_documents, "doc_id long, shard int, at long, ids binary")
-    return docs.join(base, "shard").select(
-        "doc_id", (F.col("base") + F.col("at")).alias("start"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids"
-    )
+    placed = chunks.join(F.broadcast(base), "shard").select("first", "base", "n_ids", "block", "width", "kind", "plane_bytes", "payload", "doc_ids", "doc_starts")
+    docs = placed.mapInArrow(_documents, "doc_id long, start long, ids binary")
+    return docs.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")

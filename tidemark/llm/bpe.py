@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE = 250_000  # words of a generation; two are held
+CACHE = 400_000  # words of a generation; two are held
 # Latin letters up to U+024F, general punctuation, the euro sign; of the control
 # characters tab, line feed, form feed and carriage return.
 _PLAIN = "\t\n\f\r\x20-\x7e\xa0-\u024f\u2010-\u2022\u2026\u20ac"
@@ -69,7 +69,7 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > np.iinfo(dtype).max + 1:
             raise ValueError("the vocabulary does not fit the id type")
         self.dtype, self.by_word = np.dtype(dtype).newbyteorder("<"), pattern == _PATTERN
-        self.new, self.old = {}, {}
+        self.known = Known()
         self.model = Tokenizer(self.tokenizer.model)  # for words in the model's own alphabet
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
@@ -93,26 +93,55 @@ class Encoder:
         return [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.new) > CACHE:
-            self.old, self.new = self.new, {}
-        new, old, missing = self.new, self.old, []
-        for w in words - new.keys():
-            got = old.get(w)
-            if got is None:
-                missing.append(w)
-            else:
-                new[w] = got
-        blank = [w for w in missing if w.isspace()]
-        plain = [w for w in missing if not w.isspace()]
-        new.update(zip(blank, self._whole(blank), strict=True))
+        blank = [w for w in words if w.isspace()]
+        plain = [w for w in words if not w.isspace()]
+        self.known.update(zip(blank, self._whole(blank), strict=True))
         for i in range(0, len(plain), 512):
             part = plain[i : i + 512]
-            new.update(zip(part, self._in_lines(part), strict=True))
+            self.known.update(zip(part, self._in_lines(part), strict=True))
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        cut = [_WORDS.findall(t) if t and self.by_word and "<|" not in t and not _ODD.search(t) else None for t in texts]
-        self._learn(set().union(*(ws for ws in cut if ws)))
-        odd = [t for t, ws in zip(texts, cut, strict=True) if t and ws is None]
+        known = self.known
+        known.turn()
+        found: list[list[bytes | None] | None] = []
+        asked: list[list[str]] = []
+        for t in texts:
+            if t and self.by_word and "<|" not in t and not _ODD.search(t):
+                known.asked = []
+                found.append(list(map(known.__getitem__, _WORDS.findall(t))))
+                asked.append(known.asked)
+            else:
+                found.append(None)
+                asked.append([])
+        self._learn(set().union(*asked))
+        for ids, words in zip(found, asked, strict=True):
+            i = -1
+            for w in words:  # the gaps, in order
+                i = ids.index(None, i + 1)
+                ids[i] = known[w]
+        odd = [t for t, ids in zip(texts, found, strict=True) if t and ids is None]
         whole = iter(self._whole(odd) if odd else ())
-        get = self.new.__getitem__
-        return [b"" if not t else b"".join(map(get, ws)) if ws is not None else next(whole) for t, ws in zip(texts, cut, strict=True)]
+        return [b"".join(ids) if ids is not None else next(whole) if t else b"" for t, ids in zip(texts, found, strict=True)]
+
+
+class Known(dict):
+    """Word -> ids, two generations of at most ``CACHE`` words. A word in neither
+    is noted in ``asked`` and read as None."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+        self.asked: list[str] = []
+
+    def turn(self) -> None:
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, word: str) -> bytes | None:
+        got = self.old.get(word)
+        if got is None:
+            self.asked.append(word)
+        else:
+            self[word] = got
+        return got
