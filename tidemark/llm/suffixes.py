@@ -89,7 +89,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     np.add.at(inside, ends[long] - SPAN + 1, -1)
     pos = (key[np.cumsum(inside[: len(key)]) > 0] & _AT).astype(np.int64)
     pos = pos[np.concatenate((np.ones(min(1, len(pos)), bool), pos[1:] != pos[:-1]))]
-    return pos, x[pos]
+    return pos, _shaken(x[pos] * _M1 + _M2)  # anew: the least of many hashes are small ones
 
 
 def _pieces(texts: list[bytes]) -> Iterator[tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray]]:
@@ -138,6 +138,10 @@ def _gathered(batches: Iterator[pa.RecordBatch], limit: int):
         yield docs, *map(np.concatenate, zip(*found, strict=True))
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32) if len(x) and x.max() < 1 << 32 else x
+
+
 def _packed(*arrays) -> bytes:
     import zstandard
 
@@ -211,12 +215,17 @@ def _keys(docs: list, index: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return out
 
 
+def _places(before: int, behind: int) -> int:
+    """Bit t: the string that begins t bytes before an anchor lies in the text,
+    which has so many bytes before and behind."""
+    return (1 << before + 1) - (1 << max(0, SPAN - behind)) if before >= SPAN - behind else 0
+
+
+_PLACES = np.array([[_places(b, a) for a in range(SPAN + 1)] for b in range(BEFORE + 1)], np.uint32)
+
+
 def _valid(keys: np.ndarray) -> np.ndarray:
-    """Bit t: the string that begins t bytes before the anchor lies in the text."""
-    out = np.zeros(len(keys), np.uint32)
-    for t in range(BEFORE + 1):
-        out |= ((t <= keys[:, KEY - 1]) & (SPAN - t <= keys[:, SPAN])).astype(np.uint32) << np.uint32(t)
-    return out
+    return _PLACES[keys[:, KEY - 1], keys[:, SPAN]]
 
 
 def _string(keys: np.ndarray, t: int) -> np.ndarray:
@@ -276,7 +285,7 @@ def _runs(shared, splitters, buckets: int):
             keys, owner, x = keys[cuts], owner[cuts], x[cuts]
             begin = np.concatenate(([0], np.cumsum(refs[2])))
             hot = _hit(hot_table, HOT_BITS, x)
-            out += _front_coded(keys, owner, refs, begin, np.flatnonzero(~hot), ids, hashes, bounds)
+            out += _front_coded(keys, refs, begin, np.flatnonzero(~hot), ids, hashes, bounds)
             out += _hot_strings(keys, owner, refs, begin, np.flatnonzero(hot), ids, hashes, buckets)
             if out:
                 yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _ROWS, strict=True)], schema=_ROWS)
@@ -291,7 +300,7 @@ def _spread(begin: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first + np.arange(len(first)), np.repeat(np.arange(len(which)), counts)
 
 
-def _front_coded(keys, owner, refs, begin, which, ids, hashes, bounds) -> list[tuple]:
+def _front_coded(keys, refs, begin, which, ids, hashes, bounds) -> list[tuple]:
     if not len(which):
         return []
     part = np.searchsorted(bounds, np.ascontiguousarray(keys[which, :GRAM]).view(f"S{GRAM}").ravel(), side="right")
@@ -304,7 +313,7 @@ def _front_coded(keys, owner, refs, begin, which, ids, hashes, bounds) -> list[t
         tails = k[np.arange(KEY)[None, :] >= shared[:, None]].tobytes()
         at, _ = _spread(begin, mine)
         used, local = np.unique(refs[0][at], return_inverse=True)
-        out.append((0, p, None, None, _packed(shared, tails, owner[mine], refs[2][mine].astype(np.uint32), local.astype(np.uint32), refs[1][at], ids[used], hashes[used])))
+        out.append((0, p, None, None, _packed(shared, tails, refs[2][mine].astype(np.uint32), local.astype(np.uint32), _narrow(refs[1][at]), ids[used], hashes[used])))
     return out
 
 
@@ -336,7 +345,7 @@ def _hot_strings(keys, owner, refs, begin, which, ids, hashes, buckets: int) ->
         mine = keep[bucket == b]
         i, p, mask, of = references(mine)
         used, local = np.unique(i, return_inverse=True)
-        out.append((2, b, None, None, _packed(h1[mine][of], h2[mine][of], local.astype(np.uint32), p, mask, ids[used], hashes[used])))
+        out.append((2, b, None, None, _packed(h1[mine][of], h2[mine][of], local.astype(np.uint32), _narrow(p), mask, ids[used], hashes[used])))
     return out
 
 
@@ -356,7 +365,8 @@ def _resolved(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _stream(payload: bytes, number: int):
     """The elements of a run in order: (key, prefix shared with the one before, owner, run, element)."""
-    shared, tails, owner = _unpacked(payload)[:3]
+    shared, tails, counts, local, _, ids, _ = _unpacked(payload)
+    owner = ids[local[np.cumsum(counts, dtype=np.int64) - counts]]
     key, at = b"", 0
     for i, (n, o) in enumerate(zip(shared.tolist(), owner.tolist(), strict=True)):
         end = at + KEY - n
@@ -426,7 +436,7 @@ def _covered(group: list[tuple[bytes, int, int, int]]) -> Iterator[tuple[int, in
     if all(g[1] == low for g in group):
         return
     if all(g[0] == first for g in group):
-        mask = int(_valid(np.frombuffer(first, np.uint8)[None, :])[0])
+        mask = _places(first[KEY - 1], first[SPAN])
         for _, owner, run, element in group:
             if owner > low:
                 yield run, element, mask
@@ -470,7 +480,7 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
     for payload, hits in zip(payloads, found, strict=True):
         if hits:
-            *_, counts, local, pos, ids, hashes = _unpacked(payload)
+            _, _, counts, local, pos, ids, hashes = _unpacked(payload)
             e, mask = (np.array(x) for x in zip(*hits, strict=True))
             at, of = _spread(np.concatenate(([0], np.cumsum(counts, dtype=np.int64))), e)
             i = local[at]
