@@ -69,7 +69,7 @@ def test_tensors_have_one_shape():
 
 
 def test_query_and_defined_cases(spark, tmp_path):
-    texts = [None, "", "a", "é" * 40, "x" * 64, "b" * 100_000, "same words here", "same words here"]
+    texts = [None, "", "a", "é" * 40, "x" * 64, "b" * 100_000, "same words here", "same words here", "y" * 49_600, "z" * 33_000]
     rows = [(i, t, 2) for i, t in enumerate(texts)] + [(None, "n", 1), (3, "é" * 40, 1)]
     spark.createDataFrame(rows, "doc_id long, text string, wav int").write.parquet(str(tmp_path / "documents.parquet"))
     out = op9_media(spark, str(tmp_path)).collect()

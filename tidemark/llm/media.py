@@ -214,5 +214,5 @@ def store(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def samples(wav: str = "wav") -> Column:
     """SQL of the samples of a file that ``to_wav`` made: what stands behind the
     header, as long as the header says."""
-    size = F.conv(F.hex(F.reverse(F.substring(wav, 41, 4))), 16, 10).cast("int")
+    size = sum(F.conv(F.hex(F.substring(wav, 41 + i, 1)), 16, 10).cast("bigint") * (1 << 8 * i) for i in range(4)).cast("int")
     return F.substring(F.col(wav), F.lit(45), size)
