@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tidemark.plans import profile_queries, repair_queries  # noqa: F401
+from tidemark.plans.base import ORACLES, QUERIES  # noqa: F401
