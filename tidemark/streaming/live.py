@@ -51,3 +51,14 @@ def alert_on_drift(history: DataFrame, report: Callable[[DataFrame, int], None],
         report(compare_history(profile(batch, [c for c in batch.columns if c in known]), known, tolerance), number)
 
     return check
+
+
+def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """All that a finite stream gives, as a table: runs it over what has arrived
+    and ends. For aggregates of bounded size."""
+    import uuid
+
+    name = f"drained_{uuid.uuid4().hex[:12]}"
+    running = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return stream.sparkSession.table(name)
