@@ -111,7 +111,7 @@ def local(rows, tasks=4):
     result = []
     for i, t in rows:
         b = t.encode()
-        gone = suffixes.removed(len(b), [p for d, h, p in found if d == i and h == hash(t)])
+        gone = suffixes.removed(np.array([len(b)]), [[p for d, h, p in found if d == i and h == hash(t)]])
         spans = sum(bool(g) and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
         kept = bytes(x for x, g in zip(b, gone) if not g)
         result.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))

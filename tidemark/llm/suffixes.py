@@ -40,7 +40,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import sliced
-from tidemark.llm.scratch import Scratch
 
 SPAN = 50
 GRAM = 25
@@ -51,7 +50,7 @@ HOT_BITS = 22  # of the table of grams that very many documents share
 HOT_DOCS, HOT_RUNS = 50, 200  # from so many documents of one task, or tasks, a gram counts as hot
 SAMPLE_DOCS = 2_000  # whose anchors give the key ranges
 PIECE = 1 << 20  # bytes hashed at once
-RUN = 250_000  # anchors in a run
+RUN = 400_000  # anchors in a run
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _AT = np.uint64((1 << 24) - 1)
@@ -64,12 +63,14 @@ def _shaken(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in ``data`` of the anchors of the texts [starts, ends), and the
-    hashes of their grams. Texts shorter than ``SPAN`` have none."""
+def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The anchors of the texts [starts, ends) in ``data``: positions, hashes of
+    their grams, and of the strings that each is the anchor of the bytes before and
+    behind it. Texts shorter than ``SPAN`` have none."""
     n = len(data)
+    none = np.empty(0, np.int64)
     if n < SPAN:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return none, np.empty(0, np.uint64), none, none
     m = n - GRAM + 1
     h1 = (data.astype(np.uint64) + np.uint64(1)) * _M1
     h2 = (h1[:-1] ^ (h1[:-1] >> np.uint64(29))) * _M2 + h1[1:]
@@ -87,9 +88,13 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     long = ends - starts >= SPAN
     np.add.at(inside, starts[long], 1)
     np.add.at(inside, ends[long] - SPAN + 1, -1)
-    pos = (key[np.cumsum(inside[: len(key)]) > 0] & _AT).astype(np.int64)
-    pos = pos[np.concatenate((np.ones(min(1, len(pos)), bool), pos[1:] != pos[:-1]))]
-    return pos, _shaken(x[pos] * _M1 + _M2)  # anew: the least of many hashes are small ones
+    at = np.flatnonzero(np.cumsum(inside[: len(key)]) > 0)  # where strings begin
+    pos = (key[at] & _AT).astype(np.int64)
+    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(pos)), bool), pos[1:] != pos[:-1])))
+    last = np.append(new[1:], len(pos))[: len(new)] - 1
+    pos, first, last = pos[new], at[new], at[last]
+    # hashed anew: the least of many hashes are small ones
+    return pos, _shaken(x[pos] * _M1 + _M2), pos - first, last + SPAN - pos
 
 
 def _pieces(texts: list[bytes]) -> Iterator[tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray]]:
@@ -118,18 +123,19 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[list[tuple[int, int]], np.ndar
 
 def _gathered(batches: Iterator[pa.RecordBatch], limit: int):
     """Anchors of about ``limit`` at a time: documents (id, text hash, text) and
-    arrays of document index, position in the text, gram hash."""
+    arrays of document index, position in the text, gram hash, bytes before and
+    behind."""
     docs: list[tuple[int, int, bytes]] = []
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    found: list[tuple[np.ndarray, ...]] = []
     n = 0
     for b in sliced(batches):
         base, texts = len(docs), [t or b"" for t in b.column(2).to_pylist()]
         docs += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, strict=True)
         for where, data, starts, ends in _pieces(texts):
-            pos, x = anchors(data, starts, ends)
+            pos, *rest = anchors(data, starts, ends)
             part = np.searchsorted(ends, pos, side="right")
             index = np.array([i for i, _ in where], np.int64)[part] + base
-            found.append((index, pos - starts[part] + np.array([o for _, o in where], np.int64)[part], x))
+            found.append((index, pos - starts[part] + np.array([o for _, o in where], np.int64)[part], *rest))
             n += len(pos)
         if n >= limit:
             yield docs, *map(np.concatenate, zip(*found, strict=True))
@@ -145,7 +151,7 @@ def _narrow(x: np.ndarray) -> np.ndarray:
 def _packed(*arrays) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(arrays, protocol=5))
 
 
 def _unpacked(raw: bytes) -> tuple:
@@ -158,7 +164,7 @@ def _grams(bits: int):
     """First pass: the gram hashes of a task by bucket, with two flags each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, index, _, x in _gathered(batches, 8 * RUN):
+        for _, index, _, x, _, _ in _gathered(batches, 8 * RUN):
             order = np.lexsort((index, x))
             x, index = x[order], index[order]
             first = np.concatenate(([True], (x[1:] != x[:-1]) | (index[1:] != index[:-1])))
@@ -199,25 +205,26 @@ def _hit(table: bytes, bits: int, x: np.ndarray) -> np.ndarray:
     return (np.frombuffer(table, np.uint8)[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
 
 
-def _keys(docs: list, index: np.ndarray, pos: np.ndarray) -> np.ndarray:
+def _keys(docs: list, index: np.ndarray, pos: np.ndarray, before: np.ndarray, behind: np.ndarray) -> np.ndarray:
     """A row of ``KEY`` bytes for each anchor."""
     lengths = np.array([len(d[2]) for d in docs], np.int64)
     starts = np.cumsum(lengths) - lengths
-    data = np.frombuffer(b"".join(d[2] for d in docs) + bytes(1), np.uint8)
-    behind, before = np.minimum(lengths[index] - pos, SPAN), np.minimum(pos, BEFORE)
+    data = np.frombuffer(b"".join(d[2] for d in docs), np.uint8)
     out = np.zeros((len(pos), KEY), np.uint8)
     at = starts[index] + pos
     for i in range(SPAN):
-        np.copyto(out[:, i], data[np.minimum(at + i, len(data) - 1)], where=i < behind)
+        rows = np.flatnonzero(i < behind)
+        out[rows, i] = data[at[rows] + i]
     for i in range(BEFORE):
-        np.copyto(out[:, SPAN + 1 + i], data[np.maximum(at - 1 - i, 0)], where=i < before)
+        rows = np.flatnonzero(i < before)
+        out[rows, SPAN + 1 + i] = data[at[rows] - 1 - i]
     out[:, SPAN], out[:, KEY - 1] = behind, before
     return out
 
 
 def _places(before: int, behind: int) -> int:
-    """Bit t: the string that begins t bytes before an anchor lies in the text,
-    which has so many bytes before and behind."""
+    """Bit t: the string that begins t bytes before an anchor is one of its own,
+    which reach so many bytes before and behind."""
     return (1 << before + 1) - (1 << max(0, SPAN - behind)) if before >= SPAN - behind else 0
 
 
@@ -257,18 +264,16 @@ def _runs(shared, splitters, buckets: int):
 
         def candidates():
             """Batches of anchors in the table, joined up to a run's size."""
-            for docs, index, pos, x in _gathered(batches, 4 * RUN):
-                keep = _hit(table, TABLE_BITS, x)
-                index, pos, x = index[keep], pos[keep], x[keep]
-                order = np.argsort(index, kind="stable")
-                for a in range(0, len(order), RUN):
-                    part = order[a : a + RUN]
+            for docs, index, pos, x, before, behind in _gathered(batches, 6 * RUN):
+                keep = np.flatnonzero(_hit(table, TABLE_BITS, x))
+                for a in range(0, len(keep), RUN):
+                    part = keep[a : a + RUN]
                     used, local = np.unique(index[part], return_inverse=True)
-                    yield [docs[i] for i in used.tolist()], local, pos[part], x[part]
+                    yield [docs[i] for i in used.tolist()], local, pos[part], x[part], before[part], behind[part]
 
-        for docs, index, pos, x in candidates():
+        for docs, index, pos, x, before, behind in candidates():
             ids, hashes = np.array([d[0] for d in docs], np.int64), np.array([d[1] for d in docs], np.int64)
-            keys, owner = _keys(docs, index, pos), ids[index]
+            keys, owner = _keys(docs, index, pos, before, behind), ids[index]
             rows = np.concatenate((keys, (owner.astype(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)), axis=1)
             order = np.argsort(np.ascontiguousarray(rows).view(f"V{KEY + 8}").ravel().view(f"S{KEY + 8}"), kind="stable")
             keys, owner, index, pos, x = keys[order], owner[order], index[order], pos[order], x[order]
@@ -277,7 +282,7 @@ def _runs(shared, splitters, buckets: int):
             cuts = np.flatnonzero(new)
             least = np.repeat(owner[cuts], np.diff(np.append(cuts, len(owner))))
             later = owner > least
-            out = [(1, 0, *r) for r in _by_doc(owner[later], hashes[index[later]], pos[later], _valid(keys[later]))]
+            out = [(1, r[1] % buckets, *r) for r in _by_doc(owner[later], hashes[index[later]], pos[later], _valid(keys[later]))]
             # what stays: the occurrences in the smallest document of each key
             own = ~later
             group = (np.cumsum(new) - 1)[own]
@@ -338,7 +343,7 @@ def _hot_strings(keys, owner, refs, begin, which, ids, hashes, buckets: int) ->
         return refs[0][at], refs[1][at], np.uint32(1) << t[some][of], of
 
     i, p, mask, _ = references(np.flatnonzero(later))
-    out = [(1, 0, *r) for r in _by_doc(ids[i], hashes[i], p, mask)]
+    out = [(1, r[1] % buckets, *r) for r in _by_doc(ids[i], hashes[i], p, mask)]
     keep = np.flatnonzero(~later)
     bucket = (h1[keep] % np.uint64(buckets)).astype(np.int64)
     for b in np.unique(bucket).tolist():
@@ -488,30 +493,43 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["doc_id", "th", "payload"])
 
 
-def removed(n: int, payloads: list[bytes]) -> np.ndarray:
-    """Which of ``n`` bytes go, from positions and masks."""
-    out = np.zeros(n + 1, np.int32)
-    for raw in payloads:
-        k = len(raw) // 12
-        pos, mask = np.frombuffer(raw, "<i8", k), np.frombuffer(raw, "<u4", k, 8 * k)
-        for t in range(BEFORE + 1):
-            begin = pos[(mask >> np.uint32(t)) & np.uint32(1) > 0] - t
-            np.add.at(out, begin, 1)
-            np.add.at(out, begin + SPAN, -1)
-    return np.cumsum(out[:n]) > 0
+def _decided(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All rows of a kind and part: what has been decided passes on."""
+    kind = int(pdf["kind"].iloc[0])
+    return _merge(pdf) if kind == 0 else _resolved(pdf) if kind == 2 else pdf[["doc_id", "th", "payload"]]
+
+
+def removed(lengths: np.ndarray, payloads: list[list[bytes] | None]) -> np.ndarray:
+    """Which bytes go, of texts of some ``lengths`` laid end to end, from the
+    positions and masks found for each."""
+    starts = np.cumsum(lengths) - lengths
+    pos, mask = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+    for start, found in zip(starts.tolist(), payloads, strict=True):
+        for raw in found or ():
+            k = len(raw) // 12
+            pos.append(np.frombuffer(raw, "<i8", k) + start)
+            mask.append(np.frombuffer(raw, "<u4", k, 8 * k))
+    pos, mask = np.concatenate(pos), np.concatenate(mask)
+    size = int(lengths.sum()) + 1
+    out = np.zeros(size, np.int64)
+    for t in range(BEFORE + 1):
+        begin = pos[(mask >> np.uint32(t)) & np.uint32(1) > 0] - t
+        out += np.bincount(begin, minlength=size) - np.bincount(begin + SPAN, minlength=size) if len(begin) else 0
+    return np.cumsum(out[:-1]) > 0
 
 
 def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in sliced(batches):
-        rows = []
-        for text, payloads in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            text = text or b""
-            if not payloads:
-                rows.append((len(text), 0, 0, text))
-                continue
-            gone = removed(len(text), payloads)
-            spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
-            rows.append((len(text), int(gone.sum()), spans, np.frombuffer(text, np.uint8)[~gone].tobytes()))
+    for b in sliced(batches, 64):
+        texts = [t or b"" for t in b.column(1).to_pylist()]
+        lengths = np.array([len(t) for t in texts], np.int64)
+        gone = removed(lengths, b.column(2).to_pylist())
+        rows, at = [], 0
+        for text in texts:
+            cut = gone[at : at + len(text)]
+            at += len(text)
+            n = int(cut.sum())
+            spans = int(cut[0]) + int(np.count_nonzero(cut[1:] & ~cut[:-1])) if n else 0
+            rows.append((len(text), n, spans, np.frombuffer(text, np.uint8)[~cut].tobytes() if n else text))
         n, m, k, kept = zip(*rows, strict=True)
         yield pa.record_batch(
             [b.column(0), *(pa.array(c, pa.int64()) for c in (n, m, k)), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])],
@@ -525,7 +543,7 @@ def _splitters(slim: DataFrame, parts: int) -> np.ndarray:
     rows = slim.join(F.broadcast(ids.distinct()), "doc_id").select(F.substring("text", 1, 4000).alias("text")).limit(SAMPLE_DOCS).collect()
     grams = []
     for _, data, starts, ends in _pieces([bytes(r.text or b"") for r in rows]):
-        pos, _ = anchors(data, starts, ends)
+        pos, *_ = anchors(data, starts, ends)
         grams += [data[p : p + GRAM].tobytes() for p in pos.tolist()]
     grams.sort()
     picked = sorted({grams[len(grams) * i // parts] for i in range(1, parts)}) if grams else []
@@ -542,7 +560,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     table gives no rows. kept may cut a character in two, so it is binary.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "suffixes")
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bits = min(16, max(6, (4 * parts - 1).bit_length()))
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
@@ -557,13 +574,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     shared = tuple(b"".join(tables.get(b, none)[i] for b in range(1 << bits)) for i in (0, 1))
     sc = spark.sparkContext
     run = _runs(sc.broadcast(shared), sc.broadcast(_splitters(slim, 4 * parts)), 4 * parts)
-    pieces = scratch.stage(slim.mapInArrow(run, _ROWS_SQL), "runs")
-    found = (
-        pieces.where("kind = 1")
-        .select("doc_id", "th", "payload")
-        .unionAll(pieces.where("kind = 0").select("part", "payload").groupBy("part").applyInPandas(_merge, _FOUND_SQL))
-        .unionAll(pieces.where("kind = 2").select("part", "payload").groupBy("part").applyInPandas(_resolved, _FOUND_SQL))
-    )
+    found = slim.mapInArrow(run, _ROWS_SQL).groupBy("kind", "part").applyInPandas(_decided, _FOUND_SQL)
     by_doc = found.groupBy("doc_id", "th").agg(F.collect_list("payload").alias("payloads"))
     joined = every.join(by_doc, ["doc_id", "th"], "left").select("doc_id", "text", "payloads")
     return joined.mapInArrow(_finished, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
