@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.batches import sliced
 
-CACHE = 200_000
+CACHE = 100_000
 SPACE = "▁"  # what pieces have for a space
 _RUNS = re.compile(" +[^ ]*")
 
@@ -155,9 +156,15 @@ class Pieces:
         return b"".join(map(self.out.__getitem__, ids.tolist()))[1:].decode()
 
 
+@lru_cache(maxsize=1)
+def pieces_of(path: str) -> Pieces:
+    """One model a worker process; its caches serve later tasks."""
+    return Pieces(path)
+
+
 def _encoded(path: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Pieces(path)
+        model = pieces_of(path)
         for b in sliced(batches):
             ids = [model.encode(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.record_batch([*b.columns[:-1], pa.array(ids, pa.binary())], [*b.schema.names[:-1], name])
@@ -167,7 +174,7 @@ def _encoded(path: str, name: str):
 
 def _decoded(path: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Pieces(path)
+        model = pieces_of(path)
         for b in sliced(batches):
             texts = [model.decode(np.frombuffer(i or b"", "<u2")) for i in b.column(b.num_columns - 1).to_pylist()]
             yield pa.record_batch([*b.columns[:-1], pa.array(texts, pa.string())], [*b.schema.names[:-1], name])

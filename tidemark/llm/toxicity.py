@@ -35,7 +35,7 @@ from tidemark.llm.batches import sliced
 from tidemark.llm.scratch import Scratch
 
 PREFIXES = (3, 4, 5, 6)
-CACHE = 200_000
+CACHE = 100_000
 SIGNIFICANT = 0.05
 BINS = 0.05
 REPEATS = 3
@@ -159,7 +159,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in sliced(batches):
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             counts[toxic == 1].update(set(itertools.chain.from_iterable(map(words, (text or "").lower().split()))))
-        if len(counts[0]) + len(counts[1]) > 300_000:
+        if len(counts[0]) + len(counts[1]) > 150_000:
             yield out(counts)
             counts = (Counter(), Counter())
     yield out(counts)
@@ -204,7 +204,8 @@ def _units(counts: DataFrame, strength: float, least: int, step: float, max_unit
     ).limit(max_units)
     last = f"s{len(PREFIXES)}"
     spread = table.groupBy(F.round(F.col(last) / BINS).cast("int").alias("b")).agg(F.sum("n_w").alias("n")).orderBy("b").collect()  # bounded: one row a bin
-    return {r.unit: float(r.s) for r in kept.select("unit", "s").collect()}, [(r.b * BINS - drift, float(r.n)) for r in spread if r.n]
+    chosen = kept.select("unit", "s").toArrow()
+    return dict(zip(chosen["unit"].to_pylist(), chosen["s"].to_pylist(), strict=True)), [(r.b * BINS - drift, float(r.n)) for r in spread if r.n]
 
 
 def _lambda(spread: list[tuple[float, float]]) -> float:
@@ -251,7 +252,7 @@ def fit(
     strength: float = 5.0,
     least: int = 3,
     step: float = 0.25,
-    max_units: int = 200_000,
+    max_units: int = 60_000,
     drift: float = 0.3,
 ) -> Model:
     """The model of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic). Without
