@@ -49,8 +49,9 @@ TABLE_BITS = 27  # of the table of shared grams: 16 MB
 HOT_BITS = 22  # of the table of grams that very many documents share
 HOT_DOCS, HOT_RUNS = 50, 200  # from so many documents of one task, or tasks, a gram counts as hot
 SAMPLE_DOCS = 2_000  # whose anchors give the key ranges
-PIECE = 1 << 20  # bytes hashed at once
-RUN = 400_000  # anchors in a run
+PIECE = 1 << 19  # bytes hashed at once
+RUN = 200_000  # anchors in a run
+HELD = 800_000  # anchors gathered before those of single documents are dropped
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _AT = np.uint64((1 << 24) - 1)
@@ -134,8 +135,10 @@ def _gathered(batches: Iterator[pa.RecordBatch], limit: int):
         for where, data, starts, ends in _pieces(texts):
             pos, *rest = anchors(data, starts, ends)
             part = np.searchsorted(ends, pos, side="right")
-            index = np.array([i for i, _ in where], np.int64)[part] + base
-            found.append((index, pos - starts[part] + np.array([o for _, o in where], np.int64)[part], *rest))
+            index = (np.array([i for i, _ in where], np.int64)[part] + base).astype(np.int32)
+            at = pos - starts[part] + np.array([o for _, o in where], np.int64)[part]
+            x, before, behind = rest
+            found.append((index, at, x, before.astype(np.uint8), behind.astype(np.uint8)))
             n += len(pos)
         if n >= limit:
             yield docs, *map(np.concatenate, zip(*found, strict=True))
@@ -164,7 +167,7 @@ def _grams(bits: int):
     """First pass: the gram hashes of a task by bucket, with two flags each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, index, _, x, _, _ in _gathered(batches, 8 * RUN):
+        for _, index, _, x, _, _ in _gathered(batches, HELD):
             order = np.lexsort((index, x))
             x, index = x[order], index[order]
             first = np.concatenate(([True], (x[1:] != x[:-1]) | (index[1:] != index[:-1])))
@@ -264,7 +267,7 @@ def _runs(shared, splitters, buckets: int):
 
         def candidates():
             """Batches of anchors in the table, joined up to a run's size."""
-            for docs, index, pos, x, before, behind in _gathered(batches, 6 * RUN):
+            for docs, index, pos, x, before, behind in _gathered(batches, HELD):
                 keep = np.flatnonzero(_hit(table, TABLE_BITS, x))
                 for a in range(0, len(keep), RUN):
                     part = keep[a : a + RUN]
