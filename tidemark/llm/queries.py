@@ -129,4 +129,18 @@ m AS (SELECT a, min(b) AS b FROM r GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) AS component_id,
        d.doc_id = least(d.doc_id, coalesce(m.b, d.doc_id)) AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.a = d.doc_id""",
+    "op7_suffix_dedup": r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+k AS (SELECT doc_id, p, substr(x, 2 * p - 1, 100) AS g FROM (SELECT doc_id, x, unnest(range(1, n - 48)) AS p FROM h WHERE n >= 50)),
+m AS (SELECT g, min(doc_id) AS least FROM k GROUP BY g),
+r AS (SELECT k.doc_id, k.p FROM k JOIN m ON m.g = k.g WHERE m.least < k.doc_id),
+b AS (SELECT DISTINCT doc_id, p + o AS q FROM r, (SELECT unnest(range(50)) AS o)),
+c AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE NOT follows) AS n_spans
+      FROM (SELECT doc_id, coalesce(lag(q) OVER (PARTITION BY doc_id ORDER BY q) = q - 1, false) AS follows FROM b) GROUP BY doc_id),
+t AS (SELECT a.doc_id, string_agg(substr(a.x, 2 * a.q - 1, 2), '' ORDER BY a.q) AS x
+      FROM (SELECT h.doc_id, h.x, unnest(range(1, h.n + 1)) AS q FROM h WHERE h.doc_id IN (SELECT doc_id FROM c)) a
+      LEFT JOIN b ON b.doc_id = a.doc_id AND b.q = a.q WHERE b.q IS NULL GROUP BY a.doc_id)
+SELECT h.doc_id, CAST(h.n AS BIGINT) AS n_bytes, coalesce(c.n_removed, 0) AS n_removed, coalesce(c.n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN c.doc_id IS NULL THEN h.x ELSE coalesce(t.x, '') END)) AS kept_sha256
+FROM h LEFT JOIN c ON c.doc_id = h.doc_id LEFT JOIN t ON t.doc_id = h.doc_id""",
 }
