@@ -35,7 +35,7 @@ from tidemark.llm.batches import sliced
 from tidemark.llm.scratch import Scratch
 
 PREFIXES = (3, 4, 5, 6)
-CACHE = 100_000
+CACHE = 100_000  # tokens of a generation; two are held
 SIGNIFICANT = 0.05
 BINS = 0.05
 REPEATS = 3
@@ -99,11 +99,16 @@ class Scanner(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
+        self.old: dict[str, float] = {}
 
     def __missing__(self, raw: str) -> float:
+        x = self.old.get(raw)
+        if x is None:
+            x = max(map(self.model.of, words(raw)), default=0.0) - self.model.drift
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
-        x = self[raw] = max(map(self.model.of, words(raw)), default=0.0) - self.model.drift
+        self[raw] = x
         return x
 
     def tokens(self, text: str | None) -> np.ndarray:
