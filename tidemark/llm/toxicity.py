@@ -43,8 +43,9 @@ REPEATS = 3
 
 def words(raw: str) -> list[str]:
     """The alphanumeric parts of a lower-cased token."""
-    if raw.isalnum():
-        return [raw]
+    bare = raw.strip(".,;:!?\"'()[]|-")
+    if bare.isalnum():
+        return [bare]
     return "".join(c if c.isalnum() else " " for c in raw).split()
 
 
