@@ -137,6 +137,8 @@ def test_link_and_merge(spark):
     assert len(out) == 4 and {r.source_chain for r in out} == {"base + incoming", "base", "incoming"}
     assert {r.name for r in out if r.source_chain == "base + incoming"} == {"river blue", "acme tool works"}
     assert E.link(base, inc, max_matches=1).count() == 1
+    assert sorted(map(tuple, E.link(base, inc, max_share=0.5).collect())) == sorted(map(tuple, m.collect()))
+    assert E.link(base, inc, max_share=0.0).count() == 0
     assert E.resolve_all([("a", base), ("b", inc), ("c", inc.withColumn("row_id", F.col("row_id") + 100))]).count() >= 4
     with pytest.raises(ValueError):
         E.resolve_all([("a", base)])

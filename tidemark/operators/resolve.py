@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from difflib import get_close_matches
 from functools import reduce
@@ -120,13 +121,18 @@ def link(
     max_matches: int | None = None,
     stop_words: Sequence[str] = STOP_WORDS,
     cols: list[str] | None = None,
+    max_share: float | None = None,
 ) -> DataFrame:
     """(row_1, row_2, text_similarity, error_similarity, final_similarity, text_1,
     text_2): the incoming row most like each base row by the cosine of term weights
     fitted on the base, the smaller id of equals. Rows that share no term have no
     partner. error_similarity compares how well the matched rows' numbers fit the
     base, 1 where the tables share no numbers. ``max_matches`` keeps the base rows
-    with the smallest ids."""
+    with the smallest ids.
+
+    A term that most rows have pairs most rows with each other. With ``max_share``
+    only terms in at most that share of the base rows propose pairs; their scores
+    still count all terms. Rows that share commoner terms only then have no partner."""
     texts = [c for c in (cols or shared_columns(base, incoming, "text")) if c != row_id]
     numbers = [c for c in shared_columns(base, incoming, "numeric") if c != row_id and (cols is None or c in cols)]
     left, right = with_text(base, texts), with_text(incoming, texts)
@@ -139,12 +145,17 @@ def link(
     idf = inverse_frequencies(tf, base.count())
     w1 = weights(tf, idf).join(asked.select(qcol(row_id).alias("row_id")), "row_id", "left_semi")
     w2 = weights(terms(right, F.col("__text"), row_id, stop_words), idf)
-    dots = (
-        w1.select(F.col("row_id").alias("row_1"), "term", F.col("w").alias("w1"))
-        .join(w2.select(F.col("row_id").alias("row_2"), "term", F.col("w").alias("w2")), "term")
-        .groupBy("row_1", "row_2")
-        .agg(F.sum(F.col("w1") * F.col("w2")).alias("text_similarity"))
-    )
+    w1 = w1.select(F.col("row_id").alias("row_1"), "term", F.col("w").alias("w1"))
+    w2 = w2.select(F.col("row_id").alias("row_2"), "term", F.col("w").alias("w2"))
+    if max_share is None:
+        both = w1.join(w2, "term")
+    else:
+        # idf falls with the number of rows that have the term
+        rows = base.count()
+        rare = idf.where(F.col("idf") >= math.log((1 + rows) / (1 + max_share * rows)) + 1).select("term")
+        proposed = w1.join(rare, "term").select("row_1", "term").join(w2.select("row_2", "term"), "term").select("row_1", "row_2").distinct()
+        both = proposed.join(w1, "row_1").join(w2, ["row_2", "term"])
+    dots = both.groupBy("row_1", "row_2").agg(F.sum(F.col("w1") * F.col("w2")).alias("text_similarity"))
     best = dots.groupBy("row_1").agg(F.min(F.struct((-F.round("text_similarity", 12)).alias("s"), "row_2", "text_similarity")).alias("b"))
     out = best.select("row_1", F.col("b.row_2").alias("row_2"), F.col("b.text_similarity").alias("text_similarity"))
     if numbers:
