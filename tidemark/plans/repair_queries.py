@@ -287,7 +287,20 @@ def expand_abbreviations(spark, sf_dir):
     return dirty(spark, sf_dir, "part").select("p_partkey", T.expand_abbreviations(F.col("p_type"), {"ltd": "limited", "co": "company"}).alias("p_type"))
 
 
-@query("report_chart")
+FLAGS = (
+    f"WITH {dirty_sql('customer')}, {REPAIRED.replace('f AS (', 'fx AS (').replace('JOIN f ON', 'JOIN fx ON')}, flags AS (SELECT CAST(d.c_mktsegment IS DISTINCT FROM r.c_mktsegment OR d.c_acctbal IS DISTINCT FROM r.c_acctbal AS STRING) AS t, "
+    "CAST(d.c_mktsegment IS DISTINCT FROM x.c_mktsegment OR d.c_acctbal IS DISTINCT FROM x.c_acctbal AS STRING) AS p FROM dirty d JOIN fixed x USING (c_custkey) JOIN customer r USING (c_custkey))"
+)
+
+
+@query("report_chart", f"{FLAGS}, {REPORT} " + union_sql([f"SELECT label, '{m}' AS metric, round({c}, 6) AS value FROM f" for m, c in (("precision", "pr"), ("recall", "re"), ("f1", "f1"))]))
 def report_chart(spark, sf_dir):
     bad, fixed, clean = _repaired(spark, sf_dir)
-    return sinks.report_chart(S.score_repair(bad, fixed, clean, "c_custkey"))
+    return sinks.report_chart(S.score_repair(bad, fixed, clean, "c_custkey")).select("label", "metric", F.round("value", 6).alias("value"))
+
+
+@query("repair_flags", f"{FLAGS} SELECT t AS is_error, p AS is_changed, count(*) AS n FROM flags GROUP BY t, p")
+def repair_flags(spark, sf_dir):
+    bad, fixed, clean = _repaired(spark, sf_dir)
+    out = S.repair_flags(bad, fixed, clean, "c_custkey")
+    return out.groupBy(F.col("is_error").cast("string").alias("is_error"), F.col("is_changed").cast("string").alias("is_changed")).agg(F.count("*").alias("n"))
