@@ -117,12 +117,9 @@ def test_spelled_out_classes():
     assert bpe._PATTERN == PATTERN
 
 
-def test_cache_generations(monkeypatch):
-    from tidemark.llm import bpe
-
-    monkeypatch.setattr(bpe, "CACHE", 50)
+def test_cache_generations():
     texts = corpus(300)
-    coder, tok = Encoder(vocabulary(), PATTERN), library()
+    coder, tok = Encoder(vocabulary(), PATTERN, cache=50), library()
     for i in range(0, len(texts), 7):
         part = texts[i : i + 7]
         assert [np.frombuffer(g, "<u2").tolist() for g in coder.batch(part)] == [e.ids for e in tok.encode_batch_fast(part, add_special_tokens=False)]

@@ -49,9 +49,9 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str, dtype: type = np.uint16, plain_specials: bool = False) -> Encoder:
+def encoder(path: str, pattern: str, dtype: type = np.uint16, plain_specials: bool = False, cache: int = CACHE) -> Encoder:
     """One encoder a worker process: what it has learned serves its later tasks."""
-    return Encoder(path, pattern, dtype, plain_specials)
+    return Encoder(path, pattern, dtype, plain_specials, cache)
 
 
 class Encoder:
@@ -59,7 +59,7 @@ class Encoder:
     ``dtype``, without special tokens. Null counts as empty. ``pattern`` is the
     model's word pattern; one that is not known here sends all texts whole."""
 
-    def __init__(self, path: str, pattern: str, dtype: type = np.uint16, plain_specials: bool = False):
+    def __init__(self, path: str, pattern: str, dtype: type = np.uint16, plain_specials: bool = False, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -69,7 +69,7 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > np.iinfo(dtype).max + 1:
             raise ValueError("the vocabulary does not fit the id type")
         self.dtype, self.by_word = np.dtype(dtype).newbyteorder("<"), pattern == _PATTERN
-        self.known = Known()
+        self.known = Known(cache)
         self.model = Tokenizer(self.tokenizer.model)  # for words in the model's own alphabet
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
@@ -125,16 +125,17 @@ class Encoder:
 
 
 class Known(dict):
-    """Word -> ids, two generations of at most ``CACHE`` words. A word in neither
-    is noted in ``asked`` and read as None."""
+    """Word -> ids, two generations of about ``most`` words. A word in neither is
+    noted in ``asked`` and read as None."""
 
-    def __init__(self):
+    def __init__(self, most: int):
         super().__init__()
+        self.most = most
         self.old: dict[str, bytes] = {}
         self.asked: list[str] = []
 
     def turn(self) -> None:
-        if len(self) > CACHE:
+        if len(self) > self.most:
             self.old = dict(self)
             self.clear()
 

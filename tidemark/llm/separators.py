@@ -22,11 +22,12 @@ from tidemark.llm.bpe import encoder
 from tidemark.llm.scratch import Scratch
 
 BLOCK = 1 << 18
+WORDS = 150_000  # of a generation of the encoder's cache
 
 
 def _encoded(tokenizer: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer, pattern, np.uint16, True)
+        coder = encoder(tokenizer, pattern, np.uint16, True, WORDS)
         for b in sliced(batches):
             yield pa.record_batch([pa.array(coder.batch(b.column(0).to_pylist()), pa.binary())], ["ids"])
 
