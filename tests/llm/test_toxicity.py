@@ -87,3 +87,24 @@ def test_defined_cases(spark):
     assert toxicity.score(docs.limit(0), none).count() == 0
     kept = toxicity.reject(docs, labels)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+
+
+def test_every_unit_stays(spark):
+    n = 61_000  # words of their own beginnings, each seen in three toxic documents
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda i: "".join(letters[i // 26**k % 26] for k in range(4))
+    bad = " ".join(name(i) for i in range(n))
+    rows = [(i, bad if i % 2 else "w1 w2 w3 w4 " * 50, i % 2) for i in range(30)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, step=0.01)
+    assert len(model.units) > n
+    assert all(model.units.get(name(i)) is not None for i in range(n))
+
+
+def test_units_by_hash(spark):
+    names = ["word", "^wor", "\u00fcber", "\u4e2d\u6587", "", "a" * 300]
+    got = toxicity._hashed(spark.createDataFrame([(w, float(k)) for k, w in enumerate(names)], "unit string, s float")).toArrow()
+    units = toxicity.Units(*[got[c].to_numpy() for c in "hcs"])
+    assert [units.get(w) for w in names] == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0]
+    assert units.get("other") is None and toxicity.Units().get("word") is None

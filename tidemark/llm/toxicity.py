@@ -20,8 +20,10 @@ hash; scoring reads every whole text.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -49,9 +51,43 @@ def words(raw: str) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in raw).split()
 
 
+class Units:
+    """Unit ("word" or "^prefix") -> log-odds: the sorted first 64 bits of the MD5
+    of the units beside their log-odds, and bits at their CRCs, most of which are
+    clear, to tell most other tokens. 16 to 20 bytes a unit."""
+
+    def __init__(self, hashes: np.ndarray | None = None, crcs: np.ndarray | None = None, odds: np.ndarray | None = None):
+        if hashes is None:
+            hashes, crcs, odds = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.odds = hashes[order].astype(np.int64), odds[order].astype(np.float32)
+        self.mask = (1 << max(10, (32 * len(hashes)).bit_length())) - 1
+        flags = np.zeros(self.mask + 1, bool)
+        flags[crcs & self.mask] = True
+        self.bits = np.packbits(flags, bitorder="little").tobytes()
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def get(self, unit: str) -> float | None:
+        raw = unit.encode()
+        c = zlib.crc32(raw) & self.mask
+        if not self.bits[c >> 3] >> (c & 7) & 1:
+            return None
+        h = np.int64(int.from_bytes(hashlib.md5(raw, usedforsecurity=False).digest()[:8], "big", signed=True))
+        i = self.hashes.searchsorted(h)
+        return float(self.odds[i]) if i < len(self.hashes) and self.hashes[i] == h else None
+
+
+def _hashed(units: DataFrame) -> DataFrame:
+    """(unit, s) -> what ``Units`` takes."""
+    raw = F.col("unit").cast("binary")
+    return units.select(F.conv(F.substring(F.md5(raw), 1, 16), 16, -10).cast("long").alias("h"), F.crc32(raw).alias("c"), F.col("s").cast("float"))
+
+
 @dataclass
 class Model:
-    units: dict[str, float] = field(default_factory=dict)  # "word" or "^prefix" -> log-odds
+    units: Units = field(default_factory=Units)
     drift: float = 0.3
     decay: float = 1.0  # lambda
     scale: float = 0.1  # K
@@ -171,10 +207,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(counts)
 
 
-def _units(counts: DataFrame, strength: float, least: int, step: float, max_units: int, drift: float) -> tuple[dict[str, float], list]:
+def _units(counts: DataFrame, strength: float, least: int, step: float, drift: float) -> tuple[Units, list]:
     """Word counts -> the units that change a score, and a histogram of the scores
     of clean tokens. A unit whose score is within ``step`` of what its beginning
-    gives is left out; of the rest at most ``max_units`` stay, heaviest first."""
+    gives is left out; all others stay, which the labelled rows bound."""
     total = counts.agg(F.sum("t"), F.sum("n")).first()
     all_t, all_n = float(total[0] or 0) + 1, float(total[1] or 0) + 1
     root = all_t / (all_t + all_n)
@@ -205,13 +241,11 @@ def _units(counts: DataFrame, strength: float, least: int, step: float, max_unit
     units = parts[0]
     for p in parts[1:]:
         units = units.unionAll(p)
-    kept = units.where((F.col("seen") >= least) & (F.abs(F.col("s") - F.col("up")) >= step)).orderBy(
-        F.desc(F.abs(F.col("s") - F.col("up")) * F.sqrt("seen")), "unit"
-    ).limit(max_units)
+    kept = units.where((F.col("seen") >= least) & (F.abs(F.col("s") - F.col("up")) >= step))
     last = f"s{len(PREFIXES)}"
     spread = table.groupBy(F.round(F.col(last) / BINS).cast("int").alias("b")).agg(F.sum("n_w").alias("n")).orderBy("b").collect()  # bounded: one row a bin
-    chosen = kept.select("unit", "s").toArrow()
-    return dict(zip(chosen["unit"].to_pylist(), chosen["s"].to_pylist(), strict=True)), [(r.b * BINS - drift, float(r.n)) for r in spread if r.n]
+    chosen = _hashed(kept).toArrow()  # bounded: 20 bytes a unit of the labelled rows
+    return Units(*[chosen[c].to_numpy() for c in "hcs"]), [(r.b * BINS - drift, float(r.n)) for r in spread if r.n]
 
 
 def _lambda(spread: list[tuple[float, float]]) -> float:
@@ -258,7 +292,6 @@ def fit(
     strength: float = 5.0,
     least: int = 3,
     step: float = 0.25,
-    max_units: int = 60_000,
     drift: float = 0.3,
 ) -> Model:
     """The model of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic). Without
@@ -271,7 +304,7 @@ def fit(
     kinds = {r.toxic for r in rows.select("toxic").distinct().collect()}
     if kinds != {0, 1}:
         return model
-    model.units, spread = _units(counts, strength, least, step, max_units, drift)
+    model.units, spread = _units(counts, strength, least, step, drift)
     model.decay = _lambda(spread)
     schema = "toxic int, n long, best double, top double, sum double"
     seen = rows.mapInArrow(_scan(spark.sparkContext.broadcast(model)), schema)
