@@ -108,3 +108,28 @@ def test_units_by_hash(spark):
     units = toxicity.Units(*[got[c].to_numpy() for c in "hcs"])
     assert [units.get(w) for w in names] == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0]
     assert units.get("other") is None and toxicity.Units().get("word") is None
+
+
+def test_passages_do_not_depend_on_earlier_repeats(spark):
+    docs, labels, _ = data(spark)
+    model = toxicity.fit(docs.select("doc_id", "text"), labels)
+    bad = [f"grumblef{x}" for x in ("aaa", "abb", "acc", "add", "aee")]
+    gap = " ".join(f"w{i}" for i in range(200))
+    early = " ".join(f"{w} {gap}" for _ in range(3) for w in bad)  # each three times, scattered
+    passage = " ".join(bad)
+    text = " ".join([early, passage, *[gap, passage] * 7])
+    (row,) = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()
+    spans, at = [], len(early) + 1
+    for _ in range(8):
+        spans.append((at, at + len(passage)))
+        at += len(passage) + len(gap) + 2
+    assert all(text[a:b] == passage for a, b in spans)
+    assert all(any(p.start <= a and b <= p.end for p in row.passages) for a, b in spans)
+    assert row.score >= 0.7
+
+
+def test_damping_ignores_order():
+    words, x = ["a", "a", "b", "a", "a", "c"], np.array([1.0, 1, 2, 1, 1, -0.5])
+    back = toxicity.damped(words[::-1], x[::-1], 5.5)
+    assert np.isclose(back, toxicity.damped(words, x, 5.5)) and np.isclose(back, 5.5 * 5 / 6)
+    assert toxicity.damped(["a", "b", "c", "d"], np.ones(4), 4.0) == 4.0

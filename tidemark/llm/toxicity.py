@@ -4,15 +4,16 @@ Every token has a log-odds score: how much likelier it is in toxic text than in
 other text, estimated under Dirichlet priors in a hierarchy. The prior of a word
 is centred on the rate of its six-letter beginning, that on five letters, and so
 on down to the rate of all tokens, so a rare or unseen form of a known root is
-scored by the root. Counts are of documents with the word, and a token adds to a
-document's segments three times at most: repeating a word is no further evidence. Scores less a drift are negative on average in clean text;
+scored by the root. Counts are of documents with the word. Scores less a drift are negative on average in clean text;
 the linear-time scan of Ruzzo and Tompa (1999) then finds every maximal-scoring
 segment. Karlin and Altschul's extreme-value law turns a segment's score S in n
 tokens into an expected number K n exp(-lambda S) of such segments in clean text:
 lambda solves E[exp(lambda x)] = 1 for the token scores of clean text, K is the
 maximum-likelihood value for the best segments of clean training documents. A
 document's evidence, its best and its summed significant segments in these units,
-becomes a score from 0 to 1 by logistic regression.
+becomes a score from 0 to 1 by logistic regression. Only there are repeats damped:
+a token adds to a segment's evidence three times at most. Every segment is found,
+wherever its words stood before.
 
 Fitting uses at most ``max_labelled`` labelled rows, the ones with the smallest
 hash; scoring reads every whole text.
@@ -37,6 +38,7 @@ from tidemark.llm.batches import sliced
 from tidemark.llm.scratch import Scratch
 
 PREFIXES = (3, 4, 5, 6)
+LONGEST_FIRST = PREFIXES[::-1]
 CACHE = 100_000  # tokens of a generation; two are held
 SIGNIFICANT = 0.05
 BINS = 0.05
@@ -94,15 +96,14 @@ class Model:
     weights: tuple[float, float, float] = (-2.0, 1.0, 0.5)
 
     def of(self, word: str) -> float:
-        found = self.units.get(word)
-        if found is not None:
-            return found
-        for n in reversed(PREFIXES):
+        get = self.units.get
+        found = get(word)
+        for n in LONGEST_FIRST:
+            if found is not None:
+                return found
             if len(word) >= n:
-                found = self.units.get("^" + word[:n])
-                if found is not None:
-                    return found
-        return 0.0
+                found = get("^" + word[:n])
+        return 0.0 if found is None else found
 
     def score(self, best: float, total: float) -> float:
         a, b, c = self.weights
@@ -130,6 +131,22 @@ def segments(x: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, high - low) for s, e, low, high, _ in found]
 
 
+def damped(raw: list[str], x: np.ndarray, v: float) -> float:
+    """The score ``v`` of a segment less the share of its positive scores that are
+    repeats of a token past the third: the same wherever in it the repeats stand."""
+    if len(raw) <= REPEATS:
+        return v
+    seen: Counter = Counter()
+    every = kept = 0.0
+    for w, y in zip(raw, x.tolist(), strict=True):
+        if y > 0:
+            seen[w] += 1
+            every += y
+            if seen[w] <= REPEATS:
+                kept += y
+    return v * kept / every
+
+
 class Scanner(dict):
     """Token -> score less the drift, cached; and the scan of a text."""
 
@@ -148,30 +165,37 @@ class Scanner(dict):
         self[raw] = x
         return x
 
-    def tokens(self, text: str | None) -> np.ndarray:
+    def tokens(self, text: str | None) -> tuple[list[str], np.ndarray]:
         raw = text.lower().split() if text else []
-        x = np.fromiter(map(self.__getitem__, raw), np.float64, len(raw))
-        seen: Counter = Counter()
-        for i in np.flatnonzero(x > 0).tolist():
-            seen[raw[i]] += 1
-            if seen[raw[i]] > REPEATS:
-                x[i] = -self.model.drift
-        return x
+        return raw, np.fromiter(map(self.__getitem__, raw), np.float64, len(raw))
 
-    def evidence(self, text: str | None) -> tuple[int, float, list[tuple[int, int, float]]]:
-        """Number of tokens, best segment score, and the significant segments as
-        (first token, behind the last token, -ln of the expected number)."""
-        x = self.tokens(text)
+    def evidence(self, text: str | None) -> tuple[int, float, float, list[tuple[int, int, float, float]]]:
+        """Number of tokens, best segment score, the best with repeats damped, and
+        the significant segments as (first token, behind the last token, -ln of the
+        expected number, the same with repeats damped)."""
+        raw, x = self.tokens(text)
         found = segments(x)
         if not found:
-            return len(x), 0.0, []
+            return len(x), 0.0, 0.0, []
         shift, m = math.log(self.model.scale * len(x)), self.model
-        rated = ((s, e, m.decay * v - shift) for s, e, v in found)
-        return len(x), max(v for _, _, v in found), [r for r in rated if r[2] >= -math.log(SIGNIFICANT)]
-
-    def features(self, n: int, best: float, seen: list[tuple[int, int, float]]) -> tuple[float, float]:
+        best = best_damped = 0.0
+        seen = []
+        for s, e, v in found:
+            best = max(best, v)
+            rated = m.decay * v - shift
+            significant = rated >= -math.log(SIGNIFICANT)
+            if not significant and v <= best_damped:
+                continue
+            less = damped(raw[s:e], x[s:e], v)
+            best_damped = max(best_damped, less)
+            if significant:
+                seen.append((s, e, rated, m.decay * less - shift))
+        return len(x), best, best_damped, seen
+
+    def features(self, n: int, best: float, seen: list[tuple[int, int, float, float]]) -> tuple[float, float]:
+        """Of the best segment and the sum of the significant ones, repeats damped."""
         top = self.model.decay * best - math.log(self.model.scale * n) if n and best > 0 else -10.0
-        return max(-10.0, min(30.0, top)), math.log1p(sum(r[2] for r in seen))
+        return max(-10.0, min(30.0, top)), math.log1p(sum(max(0.0, r[3]) for r in seen))
 
 
 def training(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
@@ -275,8 +299,8 @@ def _scan(model: Model):
         for b in sliced(batches):
             rows = []
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                n, best, seen = scan.evidence(text)
-                rows.append((toxic, n, best, *scan.features(n, best, seen)))
+                n, best, best_damped, seen = scan.evidence(text)
+                rows.append((toxic, n, best, *scan.features(n, best_damped, seen)))
             cols = list(zip(*rows, strict=True))
             yield pa.record_batch(
                 [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[2:]]], ["toxic", "n", "best", "top", "sum"]
@@ -330,10 +354,10 @@ def _logistic(cells: list[tuple[float, float, int, int]]) -> tuple[float, float,
     return float(w[0]), float(w[1]), float(w[2])
 
 
-def _places(text: str, seen: list[tuple[int, int, float]]) -> list[dict]:
+def _places(text: str, seen: list[tuple[int, int, float, float]]) -> list[dict]:
     """Token segments as character spans."""
     at, out = list(_tokens(text)), []
-    for s, e, v in seen:
+    for s, e, v, _ in seen:
         out.append({"start": at[s][0], "end": at[e - 1][1], "strength": v})
     return out
 
@@ -355,7 +379,7 @@ def _scored(model, names: tuple[str, str]):
         for b in sliced(batches):
             scores, found = [], []
             for text in b.column(b.num_columns - 1).to_pylist():
-                n, best, seen = scan.evidence(text)
+                n, _, best, seen = scan.evidence(text)
                 scores.append(scan.model.score(*scan.features(n, best, seen)))
                 found.append(_places(text, seen) if seen else [])
             yield pa.record_batch([*b.columns[:-1], pa.array(scores, pa.float64()), pa.array(found, _PASSAGES)], [*b.schema.names[:-1], *names])
