@@ -199,3 +199,26 @@ def test_synthetic_rows(spark):
     for p, pattern in ((r"^\d+\.\d+$", r"^\d+\.\d\d$"), (r"^[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2}$", r"^[A-Z]")):
         assert spark.range(50).select(G.value_for_pattern(p).alias("v")).where(~F.col("v").rlike(pattern)).count() == 0
     assert math.isclose(spark.range(1).select(G.clamp(F.lit(5.0), {"max": 3})).first()[0], 3)
+
+
+def test_common_terms_lose_no_partner(spark):
+    import random
+
+    r = random.Random(5)
+    text = lambda: " ".join(["the1"] * (r.random() < 0.9) + r.choices(["inc", "corp"], k=r.randrange(3)) + r.choices([f"t{i}" for i in range(40)], k=r.randrange(3)))
+    base = spark.createDataFrame([(i, text(), float(i % 7)) for i in range(60)], "row_id long, name string, n double")
+    inc = spark.createDataFrame([(100 + i, text(), float(i % 5)) for i in range(60)], "row_id long, name string, n double")
+    shown = lambda df: sorted((x.row_1, x.row_2, round(x.text_similarity, 9), round(x.final_similarity, 9)) for x in df.collect())
+    whole = shown(E.link(base, inc))  # 60 rows: all pairs
+    assert len(whole) > 50
+    for common in (0, 3, 20):
+        assert shown(E.link(base, inc, common=common)) == whole
+
+
+def test_all_suppliers_are_linked(spark):
+    from tidemark.plans.registry import QUERIES
+
+    data = "/root/testdata/sf0.01"
+    want = spark.read.parquet(f"{data}/supplier.parquet").select("s_suppkey").collect()
+    got = QUERIES["linked_numbers"](spark, data).collect()
+    assert sorted((x.row_1, x.row_2) for x in got) == sorted((x[0], x[0] + 100000) for x in want)

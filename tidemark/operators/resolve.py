@@ -122,6 +122,7 @@ def link(
     stop_words: Sequence[str] = STOP_WORDS,
     cols: list[str] | None = None,
     max_share: float | None = None,
+    common: int = 1_000,
 ) -> DataFrame:
     """(row_1, row_2, text_similarity, error_similarity, final_similarity, text_1,
     text_2): the incoming row most like each base row by the cosine of term weights
@@ -132,7 +133,10 @@ def link(
 
     A term that most rows have pairs most rows with each other. With ``max_share``
     only terms in at most that share of the base rows propose pairs; their scores
-    still count all terms. Rows that share commoner terms only then have no partner."""
+    still count all terms. Rows that share commoner terms only then have no partner.
+    Without it, a term in more than ``common`` base rows pairs only the rows whose
+    best partner by the other terms it could outdo, and of incoming rows alike in
+    these terms the first: the result is that of all pairs."""
     texts = [c for c in (cols or shared_columns(base, incoming, "text")) if c != row_id]
     numbers = [c for c in shared_columns(base, incoming, "numeric") if c != row_id and (cols is None or c in cols)]
     left, right = with_text(base, texts), with_text(incoming, texts)
@@ -147,15 +151,19 @@ def link(
     w2 = weights(terms(right, F.col("__text"), row_id, stop_words), idf)
     w1 = w1.select(F.col("row_id").alias("row_1"), "term", F.col("w").alias("w1"))
     w2 = w2.select(F.col("row_id").alias("row_2"), "term", F.col("w").alias("w2"))
-    if max_share is None:
+    rows = base.count()
+    blocked = max_share is None and rows > common
+    if max_share is None and not blocked:
         both = w1.join(w2, "term")
     else:
         # idf falls with the number of rows that have the term
-        rows = base.count()
+        max_share = common / rows if max_share is None else max_share
         rare = idf.where(F.col("idf") >= math.log((1 + rows) / (1 + max_share * rows)) + 1).select("term")
         proposed = w1.join(rare, "term").select("row_1", "term").join(w2.select("row_2", "term"), "term").select("row_1", "row_2").distinct()
         both = proposed.join(w1, "row_1").join(w2, ["row_2", "term"])
     dots = both.groupBy("row_1", "row_2").agg(F.sum(F.col("w1") * F.col("w2")).alias("text_similarity"))
+    if blocked:
+        dots = dots.unionAll(_by_common_terms(w1.join(rare, "term", "left_anti"), w2.join(rare, "term", "left_anti"), dots))
     best = dots.groupBy("row_1").agg(F.min(F.struct((-F.round("text_similarity", 12)).alias("s"), "row_2", "text_similarity")).alias("b"))
     out = best.select("row_1", F.col("b.row_2").alias("row_2"), F.col("b.text_similarity").alias("text_similarity"))
     if numbers:
@@ -171,6 +179,18 @@ def link(
     return out.join(t1, "row_1").join(t2, "row_2").select("row_1", "row_2", "text_similarity", "error_similarity", "final_similarity", "text_1", "text_2")
 
 
+def _by_common_terms(c1: DataFrame, c2: DataFrame, dots: DataFrame) -> DataFrame:
+    """(row_1, row_2, text_similarity) over the common terms ``c1`` and ``c2`` of the
+    rows that these could still give a better partner than ``dots`` does."""
+    tops = c2.groupBy("term").agg(F.max("w2").alias("top"))
+    most = c1.join(tops, "term").groupBy("row_1").agg(F.sum(F.col("w1") * F.col("top")).alias("most"))
+    found = dots.groupBy("row_1").agg(F.max("text_similarity").alias("found"))
+    undecided = most.join(found, "row_1", "left").where(F.col("found").isNull() | (F.col("found") <= F.col("most") + 1e-11)).select("row_1")
+    alike = c2.groupBy("row_2").agg(F.sort_array(F.collect_list(F.struct("term", "w2"))).alias("v")).groupBy("v").agg(F.min("row_2").alias("row_2"))
+    first = alike.select("row_2", F.inline("v"))
+    return c1.join(undecided, "row_1", "left_semi").join(first, "term").groupBy("row_1", "row_2").agg(F.sum(F.col("w1") * F.col("w2")).alias("text_similarity"))
+
+
 def resolve_conflict(a: Column, b: Column, strategy: str = "prefer_dataset_1") -> Column:
     """The first value, the second, or the first unless it is NULL or empty. Other
     strategies mean the first."""

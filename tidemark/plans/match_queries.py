@@ -232,7 +232,7 @@ def standardize_majority(spark, sf_dir):
 @query("linked_numbers")
 def linked_numbers(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("row_id"), F.col("s_name").alias("name"), "s_acctbal", "s_nationkey")
-    return E.link(rows, rows.withColumn("row_id", F.col("row_id") + 100000), max_matches=10)
+    return E.link(rows, rows.withColumn("row_id", F.col("row_id") + 100000))
 
 
 @query("resolve_all")
