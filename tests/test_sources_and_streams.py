@@ -155,3 +155,22 @@ def test_classifiers_tell_classes_apart(spark):
     scores = L.meta_classify(df, trees=2, models=("logistic", "forest", "ada"))
     assert all(s["accuracy"] == 1 for s in scores.values())
     assert "reason" in L.meta_classify(df.where("record_class = 0"))
+
+
+def test_meta_scores_asks_for_the_whole_job(spark, monkeypatch):
+    import inspect
+
+    from tidemark.plans.registry import QUERIES
+
+    asked = {}
+    signature = inspect.signature(L.meta_classify)
+
+    def seen(*args, **options):
+        call = signature.bind(*args, **options)
+        call.apply_defaults()
+        asked.update(call.arguments)
+        return {}
+
+    monkeypatch.setattr(L, "meta_classify", seen)
+    QUERIES["meta_scores"](spark, "/root/testdata/sf0.001")
+    assert asked["trees"] == 100 and set(asked["models"]) == {"logistic", "forest", "gradient", "ada", "extreme"}

@@ -300,7 +300,7 @@ def cluster_sizes(spark, sf_dir):
 def meta_scores(spark, sf_dir):
     df = D.classify(_parts(spark, sf_dir), _window_pairs(spark, sf_dir), "p_partkey")
     clustered = L.cluster_records(df, F.concat_ws(" ", *TEXT), NUMERIC, "p_partkey")
-    scores = L.meta_classify(clustered, row_id="p_partkey", trees=3, models=("logistic", "forest", "gradient", "ada"))
+    scores = L.meta_classify(clustered, row_id="p_partkey")
     rows = [(m, v["accuracy"], v["precision"], v["recall"], v["f1"]) for m, v in scores.items() if isinstance(v, dict)]
     return spark.createDataFrame(rows, "model string, accuracy double, precision double, recall double, f1 double")
 
