@@ -222,3 +222,23 @@ def test_all_suppliers_are_linked(spark):
     want = spark.read.parquet(f"{data}/supplier.parquet").select("s_suppkey").collect()
     got = QUERIES["linked_numbers"](spark, data).collect()
     assert sorted((x.row_1, x.row_2) for x in got) == sorted((x[0], x[0] + 100000) for x in want)
+
+
+def test_quantiles_and_modes_are_exact(spark):
+    import numpy as np
+
+    from tidemark.operators.profile import modes, quantiles
+
+    r = np.random.default_rng(3)
+    x, y = r.normal(size=9_000).round(3), r.integers(0, 3, 9_000).astype(float)
+    rows = [(float(a), float(b), None if i % 5 else "b") for i, (a, b) in enumerate(zip(x, y, strict=True))] + [(float("nan"), None, "a")] * 3_000
+    df = spark.createDataFrame(rows, "x double, y double, t string")
+    for gathered in (50_000, 2):  # few values are read: the brackets have to be narrowed
+        found = quantiles(df, ["x", "y"], (0.0, 0.25, 0.5, 0.99, 1.0), gathered)
+        for c, v in (("x", x), ("y", y)):
+            assert np.allclose(found[c], np.quantile(v, [0.0, 0.25, 0.5, 0.99, 1.0]), rtol=0, atol=1e-12)
+    assert quantiles(df.limit(0), ["x"]) == {"x": [None, None, None]}
+    top = modes(df, ["y", "t"]).first()
+    kinds, counts = np.unique(y, return_counts=True)
+    assert (top.mode0, top.mode1) == (kinds[counts.argmax()], "a")
+    assert tuple(modes(df.limit(0), ["y", "t"]).first()) == (None, None)

@@ -42,6 +42,40 @@ def test_row_ids_are_dense_and_ordered(spark):
     assert S.with_row_id(df.limit(0), ["k"]).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [3, 16])
+def test_row_ids_of_many_rows_do_not_depend_on_the_partitions(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = spark.range(50_000).select((F.col("id") * 48_271 % 50_000).alias("k")).repartition(5)
+        out = S.with_row_id(df, ["k"])
+        assert out.where("k <> row_id").count() == 0 and out.select("row_id").distinct().count() == 50_000
+        twice = S.with_row_id(df.select((F.col("k") % 7).alias("k")), ["k"])
+        assert [tuple(r) for r in twice.agg(F.countDistinct("row_id"), F.min("row_id"), F.max("row_id")).collect()] == [(50_000, 0, 49_999)]
+        order = [r.k for r in twice.orderBy("row_id").collect()]
+        assert order == sorted(order)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_csv_is_split_unless_a_field_goes_on_over_a_line(spark, tmp_path):
+    p = tmp_path / "a.csv"
+    p.write_text('n,t\n1,"one ""two"""\n2,three\n')
+    plain = S.read_table(spark, str(p))
+    assert [tuple(r) for r in plain.orderBy("n").collect()] == [(1, 'one "two"'), (2, "three")]
+    assert "multiLine" not in plain._jdf.queryExecution().toString() or "multiLine=true" not in plain._jdf.queryExecution().toString()
+    q = tmp_path / "b.csv"
+    q.write_text('n,t\n1,"one\ntwo"\n2,three\n')
+    assert [tuple(r) for r in S.read_table(spark, str(q)).orderBy("n").collect()] == [(1, "one\ntwo"), (2, "three")]
+
+
+def test_small_files_go_through_the_session(spark, tmp_path):
+    from tidemark.operators.profile import save_history
+
+    save_history(str(tmp_path / "h.json"), {"a": "é"}, {"a": {"mode": "x"}}, spark)
+    assert S.read_rules(str(tmp_path / "h.json"), spark) == S.read_rules(str(tmp_path / "h.json")) == ({"a": "é"}, {"a": {"mode": "x"}})
+
+
 def test_rules_and_abbreviations(tmp_path, spark):
     p = tmp_path / "r.json"
     p.write_text(json.dumps({"patterns": {"a": "x"}, "metrics": {"a": {"mode": "m"}}}))

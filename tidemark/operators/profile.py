@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import patterns as P
 from tidemark.functions.columns import as_text, is_numeric, numeric_columns, qcol, text_columns
+from tidemark.sources.shared import write_text
 
 
 def long_form(df: DataFrame, cols: list[str] | None = None, ids: list[str] | None = None) -> DataFrame:
@@ -81,9 +82,89 @@ def profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     )
 
 
-def mode_of(c: Column) -> Column:
-    """Aggregate: the most frequent value, the smallest of equals."""
-    return F.mode(c, True)
+def modes(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One row with the columns mode0, mode1, ...: the most frequent present value
+    of each of ``cols``, the smallest of equals, in its own type; NULL without
+    values. Values are counted by a shuffle on (column, value), with partial counts
+    before it, so no buffer holds the distinct values of a column."""
+    number = {c: is_numeric(df, c) for c in cols}
+    size = F.when(F.col("column_name").isin(*[c for c in cols if number[c]] or [""]), F.col("value").try_cast("double"))
+    best = value_counts(df, cols).groupBy("column_name").agg(F.min(F.struct((-F.col("n")).alias("c"), size.alias("size"), "value")).alias("top"))
+    pick = [F.max(F.when(F.col("column_name") == c, F.col("top.value"))).cast(df.schema[c].dataType).alias(f"mode{i}") for i, c in enumerate(cols)]
+    return best.agg(*pick)
+
+
+def quantiles(df: DataFrame, cols: list[str], shares: tuple[float, ...] = (0.25, 0.5, 0.75), gathered: int = 50_000) -> dict[str, list[float | None]]:
+    """Exact, interpolated quantiles of number columns; NaN counts as missing, and a
+    column without values has None.
+
+    A sketch of bounded size brackets each wanted rank; one pass counts what lies
+    below and inside the brackets; brackets of more than ``gathered`` rows are
+    narrowed by a sketch of their inside, the others' values are read. So a pass
+    holds sketches and counters only, whatever the number of distinct values."""
+    error, accuracy = 2e-4, 10_000
+    x = {c: F.when(~F.isnan(qcol(c).cast("double")), qcol(c).cast("double")) for c in cols}
+    near = lambda v, q: F.percentile_approx(v, F.array(F.lit(max(0.0, q - error)), F.lit(min(1.0, q + error))), accuracy)
+    first = df.agg(
+        *[f(x[c]).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))],
+        *[near(x[c], q).alias(f"q{i}_{j}") for i, c in enumerate(cols) for j, q in enumerate(shares)],
+    ).first()
+    ranks: dict[tuple[str, int], float | None] = {}
+    brackets: dict[tuple[str, int], tuple[float, float]] = {}
+    for i, c in enumerate(cols):
+        for j, q in enumerate(shares):
+            at = (first[f"n{i}"] - 1) * q
+            for r in {int(at), -int(-at // 1)} if first[f"n{i}"] else ():
+                brackets[c, r] = tuple(first[f"q{i}_{j}"])
+    ends = {c: (first[f"lo{i}"], first[f"hi{i}"]) for i, c in enumerate(cols)}
+    while brackets:
+        open_ = list(brackets.items())
+        seen = df.agg(
+            *[
+                F.count_if(test).alias(f"{n}{k}")
+                for k, ((c, _), (lo, hi)) in enumerate(open_)
+                for n, test in (("a", x[c] < lo), ("b", x[c] == lo), ("m", (x[c] > lo) & (x[c] < hi)), ("z", x[c] == hi))
+            ]
+        ).first()
+        inside, narrow = {}, {}
+        for k, ((c, r), (lo, hi)) in enumerate(open_):
+            below, upto, middle = seen[f"a{k}"], seen[f"a{k}"] + seen[f"b{k}"], seen[f"m{k}"]
+            del brackets[c, r]
+            if r < below:
+                brackets[c, r] = (ends[c][0], lo)
+            elif r < upto:
+                ranks[c, r] = lo
+            elif r < upto + middle:
+                (inside if middle <= gathered else narrow)[c, r] = (lo, hi, r - upto, middle)
+            elif r < upto + middle + seen[f"z{k}"]:
+                ranks[c, r] = hi
+            else:
+                brackets[c, r] = (hi, ends[c][1])
+        if narrow:
+            wanted = list(narrow.items())
+            finer = df.agg(*[near(F.when((x[c] > lo) & (x[c] < hi), x[c]), at / n).alias(f"q{k}") for k, ((c, _), (lo, hi, at, n)) in enumerate(wanted)]).first()
+            brackets |= {key: tuple(finer[f"q{k}"]) for k, (key, _) in enumerate(wanted)}
+        if inside:
+            wanted = list(inside.items())
+            cells = F.explode(F.array_compact(F.array(*[F.when((x[c] > lo) & (x[c] < hi), F.struct(F.lit(k).alias("k"), x[c].alias("v"))) for k, ((c, _), (lo, hi, _, _)) in enumerate(wanted)])))
+            values = df.select(cells.alias("e")).groupBy("e.k", "e.v").count().orderBy("k", "v").collect()  # at most ``gathered`` values a rank
+            for k, (key, (_, _, at, _)) in enumerate(wanted):
+                for r in (r for r in values if r.k == k):
+                    if at < r["count"]:
+                        ranks[key] = r.v
+                        break
+                    at -= r["count"]
+    out: dict[str, list[float | None]] = {}
+    for i, c in enumerate(cols):
+        out[c] = []
+        for q in shares:
+            at = (first[f"n{i}"] - 1) * q
+            low, high = int(at), -int(-at // 1)
+            if not first[f"n{i}"]:
+                out[c].append(None)
+            else:
+                out[c].append(ranks[c, low] if low == high else (high - at) * ranks[c, low] + (at - low) * ranks[c, high])
+    return out
 
 
 def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -91,13 +172,11 @@ def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     and interpolated."""
     cols = cols or numeric_columns(df)
     parts = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    quart = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-    stats = df.agg(
-        *[f(qcol(c).cast("double")).cast("double").alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in parts.items()],
-        *[F.percentile(qcol(c).cast("double"), q).alias(f"{n}{i}") for i, c in enumerate(cols) for n, q in quart.items()],
-    )
+    stats = df.agg(*[f(qcol(c).cast("double")).cast("double").alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in parts.items()])
+    found = quantiles(df, cols)
+    quart = {f"{n}{i}": F.lit(v).cast("double") for i, c in enumerate(cols) for n, v in zip(("q25", "q50", "q75"), found[c], strict=True)}
     names = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"{n}{i}").alias(n) for n in names]) for i, c in enumerate(cols)]))
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), *[quart.get(f"{n}{i}", F.col(f"{n}{i}")).alias(n) for n in names]) for i, c in enumerate(cols)]))
     return stats.select(rows.alias("r")).select("r.*")
 
 
@@ -202,10 +281,10 @@ def collect_profile(found: DataFrame) -> dict[str, dict]:
     return out
 
 
-def save_history(path: str, patterns: dict[str, str], metrics: dict[str, dict]) -> None:
-    """Patterns and metrics as one JSON document, the history later checks read."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({"patterns": patterns, "metrics": metrics}, f, indent=2, sort_keys=True)
+def save_history(path: str, patterns: dict[str, str], metrics: dict[str, dict], spark: SparkSession | None = None) -> None:
+    """Patterns and metrics as one JSON document, the history later checks read;
+    with a session, in any store that Spark reaches."""
+    write_text(path, json.dumps({"patterns": patterns, "metrics": metrics}, indent=2, sort_keys=True), spark)
 
 
 def valid_percentages(df: DataFrame, patterns: dict[str, str]) -> DataFrame:

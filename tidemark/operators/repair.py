@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import patterns as P
 from tidemark.functions.columns import as_text, column_types, is_numeric, qcol, text_columns
 from tidemark.functions.text import levenshtein_score, plain_punctuation, similarity
+from tidemark.operators.profile import modes, quantiles
 from tidemark.operators.rules import INVALID, MISSING, Rule, clip
 
 DEFAULT_STRATEGY = "mean"
@@ -83,18 +84,24 @@ def impute(df: DataFrame, reference: DataFrame | None = None, strategy: str = DE
         raise ValueError(f"strategy is mean, median or mode, not {strategy}")
     ref = df if reference is None else reference
     chosen = [c for c in cols or df.columns if c in ref.columns]
-    of = {"mean": lambda c: F.avg(c), "median": lambda c: F.median(c)}
-
-    def statistic(c: str) -> Column:
-        return of[strategy](qcol(c).cast("double")) if is_numeric(df, c) and strategy in of else F.mode(qcol(c), True)
-
-    stats = ref.agg(F.count("*").alias("__rows"), *[statistic(c).alias(f"__s{i}") for i, c in enumerate(chosen)])
+    if not chosen:
+        return df
+    numbers = [c for c in chosen if is_numeric(df, c) and strategy != "mode"]
+    others = [c for c in chosen if c not in numbers]
+    stats = ref.agg(F.count("*").alias("__rows"), *[F.avg(qcol(c).cast("double")).alias(f"__mean{i}") for i, c in enumerate(numbers)])
+    value = {c: F.col(f"__mean{i}") for i, c in enumerate(numbers)}
+    if strategy == "median" and numbers:
+        value = {c: F.lit(v[0]).cast("double") for c, v in quantiles(ref, numbers, (0.5,)).items()}
+    if others:
+        stats = stats.crossJoin(modes(ref, others))  # one row each
+        value |= {c: F.col(f"mode{i}") for i, c in enumerate(others)}
+    stats = stats.select("__rows", *[value[c].alias(f"__s{i}") for i, c in enumerate(chosen)])
     at = {c: i for i, c in enumerate(chosen)}
 
     def filled(c: str) -> Column:
         value = F.col(f"__s{at[c]}")
         kind = df.schema[c].dataType
-        if is_numeric(df, c) and strategy in of:
+        if c in numbers:
             return F.coalesce(qcol(c).cast("double"), value).alias(c)
         if kind.typeName() == "string":
             value = F.when(F.col("__rows") == 0, F.lit("missing")).otherwise(value)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import aligned_union, qcol, shared_columns, with_minmax, with_text
 from tidemark.functions.text import expand_abbreviations, has_punctuation, is_lower, remove_punctuation, strip_currency
+from tidemark.sources.shared import kept
 from tidemark.operators.dedup import inverse_frequencies, terms, weights
 
 STEPS = ("lower", "punctuation", "currency", "abbreviations")
@@ -244,7 +245,7 @@ def merge(
 
 def resolve_all(datasets: list[tuple[str, DataFrame]], strategies: dict[str, str] | None = None, row_id: str = "row_id", keep_unmatched: bool = True, **options) -> DataFrame:
     """Folds the tables from the left: the result of two is linked with the next.
-    Each step's lineage is cut by a checkpoint in the folder the cluster shares."""
+    Each step's lineage is cut by a table in the folder the cluster shares."""
     if len(datasets) < 2:
         raise ValueError("two tables or more are needed")
     cols = sorted(set.intersection(*[set(d.columns) for _, d in datasets]) - {row_id})
@@ -254,19 +255,10 @@ def resolve_all(datasets: list[tuple[str, DataFrame]], strategies: dict[str, str
         merged = merge(matches, out, df, strategies, (name, other), row_id, keep_unmatched)
         key = F.struct(F.col("row_1").isNull(), "row_1", "row_2")
         merged = merged.withColumn(row_id, F.xxhash64(key)).drop("row_1", "row_2") if other != datasets[-1][0] else merged
-        out, name = _cut(merged), "merged"
+        out, name = kept(merged, "resolved"), "merged"
     return out
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))  # one machine: no shared folder is set
-    return df.checkpoint()
-
-
 def close_names(a: DataFrame, b: DataFrame, cutoff: float = 0.6) -> dict[str, str]:
     """Columns of ``a`` that ``b`` lacks -> the most similar name there, if any."""
     out = {}

@@ -12,6 +12,7 @@ from tidemark.functions.columns import numeric_columns, qcol
 from tidemark.operators.profile import summary
 from tidemark.operators.rules import INVALID, MISSING
 from tidemark.operators.score import change_table
+from tidemark.sources.shared import write_text
 
 # Cell colours of marked tables, by report.
 STYLES = {
@@ -83,10 +84,10 @@ def write_workbook(df: DataFrame, styles: DataFrame, path: str, row_id: str = "r
 
 
 def save_report(path: str, df: DataFrame, performance: dict) -> None:
-    """Summary, scores and time as one JSON document."""
+    """Summary, scores and time as one JSON document, in any store that Spark reaches."""
     rows = [r.asDict() for r in summary(df).collect()]  # one row a column
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({"timestamp": datetime.now(timezone.utc).isoformat(), "summary": rows, "performance": performance}, f, indent=2, default=str)
+    report = {"timestamp": datetime.now(timezone.utc).isoformat(), "summary": rows, "performance": performance}
+    write_text(path, json.dumps(report, indent=2, default=str), df.sparkSession)
 
 
 def metric_chart(found: DataFrame) -> DataFrame:

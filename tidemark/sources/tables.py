@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import fold_nan, qcol
+from tidemark.sources.shared import kept, read_text
 
 # Field texts that mean "no value" in typed reading.
 NA_TOKENS = (
@@ -28,18 +29,22 @@ def read_table(
     schema: str | None = None,
     order_by: Sequence[str] | None = None,
     row_id: str | None = None,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """A CSV or Parquet table from any store that Spark reaches (local, s3a, ...).
 
     CSV, ``all_text``: every column is text and a blank field is NULL, or ``''`` if
     ``blank_is_missing`` is false. CSV otherwise: ``na_tokens`` are NULL and types
     are those all remaining values of a column have. A file whose first encoding
-    does not fit is read with the next. ``row_id`` names a dense id column, in the
+    does not fit is read with the next. Files are split among tasks unless a field
+    goes on over a line end, which an odd number of quotes in a line shows: one pass
+    over the raw lines looks for these and for the encoding (``multi_line`` sets the
+    first by hand). ``row_id`` names a dense id column, in the
     order of ``order_by``, or of the file."""
     if fmt == "parquet":
         df = spark.read.parquet(path)
     else:
-        df = _csv(spark, path, encodings, schema)
+        df = _csv(spark, path, encodings, schema, multi_line)
         if not all_text and schema is None:
             df = infer_types(df.select(*[F.when(~qcol(c).isin(*na_tokens), qcol(c)).alias(c) for c in df.columns]))
         elif not blank_is_missing:
@@ -50,17 +55,17 @@ def read_table(
     return with_row_id(df, order_by, row_id) if row_id else df
 
 
-def _csv(spark: SparkSession, path: str, encodings: Sequence[str], schema: str | None) -> DataFrame:
-    for encoding in encodings:
-        reader = spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).option("escape", '"')
-        df = (reader.schema(schema) if schema else reader).csv(path)
-        texts = [c for c, t in df.dtypes if t == "string"]
-        if encoding == encodings[-1] or not texts:
-            break
-        bad = df.agg(F.bool_or(F.greatest(*[F.coalesce(qcol(c).contains("�"), F.lit(False)) for c in texts], F.lit(False)))).first()[0]
-        if not bad and not any("�" in c for c in df.columns):
-            break
-    return df
+def _csv(spark: SparkSession, path: str, encodings: Sequence[str], schema: str | None, multi_line: bool | None) -> DataFrame:
+    lines = spark.read.text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    seen = lines.agg(
+        F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True)).alias("utf8"), F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)).alias("open")
+    ).first()
+    utf8 = [e for e in encodings if e.upper().replace("-", "") == "UTF8"]
+    encoding = encodings[0] if encodings[0] not in utf8 or seen.utf8 or len(encodings) == 1 else encodings[1]
+    reader = spark.read.option("header", True).option("encoding", encoding).option("escape", '"')
+    reader = reader.option("multiLine", bool(seen.open) if multi_line is None else multi_line)
+    return (reader.schema(schema) if schema else reader).csv(path)
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -83,22 +88,22 @@ def normalise_headers(df: DataFrame) -> DataFrame:
 
 def with_row_id(df: DataFrame, order_by: Sequence[str] | None = None, name: str = "row_id") -> DataFrame:
     """Adds a dense BIGINT id from 0 in the order of ``order_by``, or of the input.
-    Rows are ranked in their partitions; only the partitions' sizes reach the
-    driver. The input must give the same rows each time it is read."""
-    spark = df.sparkSession
+
+    Rows are ranked within partitions, and the partitions' sizes give the offsets. A
+    second run of the plan could deal rows otherwise (range bounds come from a new
+    sample), so the ranked rows are written once to the shared folder and both the
+    sizes and the result read that table. Rows equal in all of ``order_by`` take
+    their ids in any order; an empty table stays empty."""
+    at, place = "__at", "__part"
     if order_by:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         keys = [qcol(c) for c in order_by]
-        df = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    at = df.withColumn("__at", F.monotonically_increasing_id())
-    part = F.shiftright("__at", 33)
-    sizes = {r[0]: r[1] for r in at.groupBy(part.alias("p")).count().collect()}  # one row a partition
-    starts, total = [], 0
-    for p in range(max(sizes, default=-1) + 1):
-        starts.append(total)
-        total += sizes.get(p, 0)
-    base = F.element_at(F.lit(starts or [0]), (part + 1).cast("int"))
-    return at.select(*[qcol(c) for c in df.columns], (base + F.col("__at").bitwiseAND((1 << 33) - 1)).cast("bigint").alias(name))
+        df = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    ranked = df.withColumn(at, F.monotonically_increasing_id())
+    ranked = kept(ranked.withColumns({place: F.shiftright(at, 33), at: F.col(at).bitwiseAND((1 << 33) - 1)}), "row-id")
+    sizes = ranked.groupBy(place).agg(F.count("*").alias("__n"))
+    before = Window.orderBy(place).rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = sizes.select(place, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return ranked.join(F.broadcast(starts), place).select(*[qcol(c) for c in df.columns], (F.col("__start") + F.col(at)).cast("bigint").alias(name))
 
 
 def read_datasets(spark: SparkSession, paths: dict[str, str], **options) -> list[tuple[str, DataFrame]]:
@@ -108,10 +113,10 @@ def read_datasets(spark: SparkSession, paths: dict[str, str], **options) -> list
     return [(name, read_table(spark, path, lower_headers=True, **options)) for name, path in paths.items()]
 
 
-def read_rules(path: str) -> tuple[dict[str, str], dict[str, dict]]:
-    """(patterns, metrics) of a JSON rule file; either part may be absent."""
-    with open(path, encoding="utf-8") as f:
-        rules = json.load(f)
+def read_rules(path: str, spark: SparkSession | None = None) -> tuple[dict[str, str], dict[str, dict]]:
+    """(patterns, metrics) of a JSON rule file; either part may be absent. With a
+    session the file may be in any store that Spark reaches."""
+    rules = json.loads(read_text(path, spark))
     return rules.get("patterns", {}), rules.get("metrics", {})
 
 
@@ -122,10 +127,9 @@ def apply_rules(inferred: dict, given: dict, mode: str = "merge") -> dict:
     return {**inferred, **given} if mode == "merge" else dict(given or inferred)
 
 
-def read_abbreviations(path: str) -> dict[str, str]:
-    """short -> full, in file order, from a YAML mapping."""
-    with open(path, encoding="utf-8") as f:
-        text = f.read()
+def read_abbreviations(path: str, spark: SparkSession | None = None) -> dict[str, str]:
+    """short -> full, in file order, from a YAML mapping, in any store with a session."""
+    text = read_text(path, spark)
     try:
         import yaml
     except ImportError:
