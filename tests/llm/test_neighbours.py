@@ -21,24 +21,42 @@ def brute(rows, queries, k):
 
 
 def test_perturbation_order_equals_enumeration():
-    r = np.random.default_rng(1)
-    for _ in range(30):
-        x = r.random(3)
-        border = np.stack((x, 1 - x), axis=1).ravel()
-        sets = [[2 * j + m - 1 for j, m in enumerate(c) if m] for c in itertools.product((0, 1, 2), repeat=3)]
-        cost = lambda s: sum(border[i] ** 2 for i in s)
-        want = sorted(map(cost, sets))
-        got = neighbours.perturbations(border, 27)
-        assert len(got) == 27 and np.allclose([cost(s) for s in got], want)
+    for m in (1, 2, 3, 4):
+        cost = lambda j: j * (j + 1) / (4 * (m + 1) * (m + 2)) if j <= m else 1 - (2 * m + 1 - j) / (m + 1) + (2 * m + 1 - j) * (2 * m + 2 - j) / (4 * (m + 1) * (m + 2))  # noqa: B023, E731
+        every = [s for n in range(m + 1) for s in itertools.combinations(range(2 * m), n) if not any(2 * m - 1 - r in s for r in s)]
+        got = neighbours.perturbations(m, 10_000)
+        total = lambda s: sum(cost(r + 1) for r in s)  # noqa: B023, E731
+        assert sorted(got) == sorted(every) and len(got) == 3**m and got[0] == ()
+        assert np.allclose([total(s) for s in got], sorted(map(total, every)))
+
+
+def test_visits_are_the_keys_of_moved_slots():
+    r = np.random.default_rng(2)
+    index = neighbours.Index.make(5, 1.0, 2, 3)
+    x = r.normal(size=(4, 5))
+    at, got = index.at(x), index.visits(x, 27)
+    slots = np.floor(at)
+    assert (got[:, :, 0] == index.keys(x)).all()
+    for i in range(4):
+        for t in range(2):
+            border = [(d, j, way) for j in range(3) for d, way in ((at[i, t, j] - slots[i, t, j], -1), (slots[i, t, j] + 1 - at[i, t, j], 1))]
+            border.sort()
+            for p, moves in enumerate(neighbours.perturbations(3, 27)):
+                moved = slots[i : i + 1].copy()
+                for rank in moves:
+                    moved[0, t, border[rank][1]] += border[rank][2]
+                assert index.mixed(index.sums(moved))[0, t] == got[i, t, p]
+    seen = neighbours.first_visits(index, x, x, 27)
+    assert (np.diag(seen) == 0).all() and (seen <= 27).all()
 
 
 def table(spark, rows):
     return spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, rep string")
 
 
-def run(spark, rows, every=10, k=10):
+def run(spark, rows, every=10, k=10, **options):
     df = table(spark, rows)
-    got = neighbours.nearest(df, df.where(f"vec_id % {every} = 0"), k)
+    got = neighbours.nearest(df, df.where(f"vec_id % {every} = 0"), k, **options)
     return sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect())
 
 
@@ -79,3 +97,25 @@ def test_defined_cases(spark):
     empty = table(spark, rows).limit(0)
     assert neighbours.nearest(empty, empty).count() == 0
     assert run(spark, [(0, [1.0, 1.0])]) == []
+
+
+def test_joined_queries_give_what_broadcast_ones_give(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BUCKET", 50)  # buckets dealt by salt
+    r = np.random.default_rng(8)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.repeat(r.normal(size=(3, 8)), 200, axis=0) + 0.01 * r.normal(size=(600, 8)))]
+    assert run(spark, rows, 30) == run(spark, rows, 30, query_bytes=0)
+
+
+def test_few_candidates_where_vectors_have_clusters():
+    r = np.random.default_rng(6)
+    x = np.repeat(r.normal(size=(100, 32)), 20, axis=0) + 0.02 * r.normal(size=(2000, 32))
+    some = np.arange(0, 2000, 50)
+    near = np.argsort(np.square(x[some][:, None] - x[None]).sum(axis=2), axis=1)[:, 1:11]
+    found = np.concatenate((np.repeat(np.arange(len(some)), 10)[:, None], x[near.ravel()]), axis=1)
+    fitted = neighbours.fit(x[some], found, x, 2000, 16, 0.93)
+    assert fitted.recall >= 0.93 and fitted.share < 0.05
+    hashes = fitted.index.planes.shape[1]
+    seen = neighbours.first_visits(fitted.index, x[some], x, len(neighbours.perturbations(hashes, 512)))
+    mean = [(seen[np.arange(len(some))[:, None], near] < p).mean() for p in (1, 4, fitted.probes)]
+    assert mean == sorted(mean) and mean[-1] >= 0.93  # later visits only add
+    assert neighbours.fit(x[some], found[:0], x, 2000, 16, 0.93) is None
