@@ -19,14 +19,15 @@ def hot_limit(total: int, least: int = LEAST) -> int:
     return max(least, total // MOST_HOT)
 
 
-def join_unique(rows: DataFrame, table: DataFrame, key: str, total: int, count: str = "n", least: int = LEAST) -> DataFrame:
+def join_unique(rows: DataFrame, table: DataFrame, key: str | list[str], total: int, count: str = "n", least: int = LEAST) -> DataFrame:
     """``rows`` joined with ``table``, which has one row a key; its column ``count``
     has the number of ``rows`` of the key, ``total`` in all. Hot keys meet their row
     by broadcast and are not shuffled, the others by a shuffle. ``rows`` is read
     twice where hot keys are possible, so it should be a stored table or cheap."""
+    key = [key] if isinstance(key, str) else key
     limit = hot_limit(total, least)
     if total <= limit:
         return rows.join(table, key)
     hot = table.where(F.col(count) > limit)  # at most MOST_HOT rows
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    rest = rows.join(F.broadcast(hot.select(*key)), key, "left_anti")
     return rows.join(F.broadcast(hot), key).unionByName(rest.join(table.where(F.col(count) <= limit), key))
