@@ -55,6 +55,11 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(target, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target, system = _file_system(spark, path)
+    return bool(system.exists(target))
+
+
 def kept(df: DataFrame, name: str = "kept") -> DataFrame:
     """``df`` written to the shared folder and read back, once and for all."""
     path = shared_path(df.sparkSession, name)
