@@ -60,12 +60,40 @@ def test_segments():
     assert media.segments(np.zeros(5), S) == []
 
 
+def test_log_mel_equals_direct_sums():
+    s = media.Settings(window=16, hop=8, mels=4)
+    x = np.random.default_rng(2).normal(size=70).astype(np.float32)
+    got = media.log_mel(x, s)
+    n = -(-(len(x) - s.window) // s.hop) + 1
+    assert got.shape == (n, s.mels)
+    hz = lambda m: 700 * (10 ** (m / 2595) - 1)
+    top = 2595 * np.log10(1 + s.to_rate / 2 / 700)
+    edges = [hz(top * i / (s.mels + 1)) for i in range(s.mels + 2)]
+    for f in range(n):
+        frame = [float(x[f * s.hop + i]) if f * s.hop + i < len(x) else 0.0 for i in range(s.window)]
+        frame = [v * (0.5 - 0.5 * np.cos(2 * np.pi * (i + 1) / (s.window + 1))) for i, v in enumerate(frame)]
+        power = [abs(sum(v * np.exp(-2j * np.pi * k * i / s.window) for i, v in enumerate(frame))) ** 2 for k in range(s.window // 2 + 1)]
+        for m in range(s.mels):
+            weight = []
+            for k in range(len(power)):
+                at = k * s.to_rate / s.window
+                weight.append(max(0.0, min((at - edges[m]) / (edges[m + 1] - edges[m]), (edges[m + 2] - at) / (edges[m + 2] - edges[m + 1]))))
+            want = 10 * np.log10(sum(w * p for w, p in zip(weight, power, strict=True)) / max(sum(weight), 1e-9) + 1e-6)
+            assert abs(got[f, m] - want) < 1e-2
+
+
 def test_tensors_have_one_shape():
     f = media.features(media.to_wav(bytes(range(256)) * 300, S.rate), S)
     assert f["n_frames"] == -(-(38400 - S.window) // S.hop) + 1
-    assert all(len(t["values"]) == 4 * S.frames * S.mels for t in f["tensors"]) and len(f["tensors"]) == -(-f["n_frames"] // S.frames)
-    array = media.fixed_shape(pa.array([t["values"] for t in f["tensors"]], pa.binary()))
-    assert array.to_numpy_ndarray().shape == (len(f["tensors"]), S.frames, S.mels)
+    schema = pa.ipc.open_stream(f["tensors"]).schema
+    assert schema.field("tensor").type == media.tensor_type(S) and tuple(schema.field("tensor").type.shape) == (S.frames, S.mels)
+    spans, tensors = media.from_stream(f["tensors"])
+    assert tensors.shape == (-(-f["n_frames"] // S.frames), S.frames, S.mels) and spans.shape == (len(tensors), 2)
+    seconds = S.hop / S.to_rate
+    assert np.allclose(spans[:, 0], np.arange(len(tensors)) * S.frames * seconds) and np.isclose(spans[-1, 1], f["n_frames"] * seconds)
+    x = (np.frombuffer(bytes(range(256)) * 300, np.uint8).astype(np.float32) - 128) / 128
+    mel = media.log_mel(media.resampled(x, S.rate, S.to_rate, S.taps), S)
+    assert (tensors.reshape(-1, S.mels)[: len(mel)] == mel).all()
 
 
 def test_query_and_defined_cases(spark, tmp_path):

@@ -100,6 +100,11 @@ def test_counts_of_documents(spark, tmp_path):
     tok = library()
     tok.encode_special_tokens = True
     assert got == {i: len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+    # any plan will do, though a second run would deal its rows otherwise
+    other = spark.read.parquet(src).repartition(4).union(spark.createDataFrame([(None, "a b", 0), (5, "c", 0)], "doc_id long, text string, ordinal int"))
+    again = separators.token_counts(other.where("doc_id is null or doc_id <> 5 or text = 'c'"), vocabulary(), PATTERN, 50256)
+    named = {r.doc_id: r.n_tokens for r in again.collect()}
+    assert named == got | {None: 3, 5: 2}
     none = spark.createDataFrame([], "doc_id long, text string")
     assert separators.token_counts(none, vocabulary(), PATTERN, 50256).count() == 0
 

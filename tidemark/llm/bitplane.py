@@ -26,6 +26,7 @@ from tidemark.llm.bpe import encoder
 CHUNK = 1 << 16
 BLOCK = 1 << 14
 LEVEL = 1
+SHARD = 32 << 20  # bytes of text in a shard
 SCHEMA = (
     "shard int, chunk int, first long, n_ids int, block int, width int, kind string, plane_bytes array<int>, payload binary, "
     "doc_ids array<long>, doc_starts array<int>"
@@ -105,9 +106,13 @@ def write_ids(
 ) -> None:
     """Encodes ``docs`` (doc_id, text), appends ``end_id`` to each document and
     writes all ids in ascending doc_id order, null first. Null text is empty; rows
-    that share a doc_id all stay, next to each other."""
+    that share a doc_id all stay, next to each other; no rows give no files of ids;
+    columns other than these two are not read. Shards follow the size of the texts,
+    ``SHARD`` bytes each, smaller ones where there are fewer of them than tasks. A
+    very long text stays in one chunk, which may hold at most 2^31 - 1 ids."""
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (SHARD >> 5))))
     (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         .repartitionByRange(shards, "doc_id")
@@ -144,8 +149,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document in a folder of
     ``write_ids``: start counts the ids of all documents before it, ids are
     little-endian unsigned 32-bit integers, the end id included. The shards' places
-    are broadcast: 16 bytes a shard, and there are as many shards as the writer's
-    session had shuffle partitions."""
+    are broadcast: 16 bytes for 32 MB of text."""
     chunks = spark.read.schema(SCHEMA).parquet(path)
     sums = chunks.groupBy("shard").agg(F.sum("n_ids").alias("total"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard

@@ -2,14 +2,16 @@
 
 Samples are kept losslessly as 8-bit WAV files in a binary column. Features come
 from the stored bytes: a polyphase filter changes the rate, overlapped windows
-give log-mel frames, frames are dealt into tensors of one fixed shape with the
-time span each covers, and a two-threshold (hysteresis) walk over frame energies
+give log-mel frames, frames are dealt into tensors of one fixed shape, held as an
+Arrow stream of a fixed-shape tensor column beside the time span each covers, and a
+two-threshold (hysteresis) walk over frame energies
 marks active segments. Every file is processed on its own, so equal bytes give
 equal features, whatever else is in the batch.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -143,6 +145,30 @@ def segments(db: np.ndarray, s: Settings) -> list[tuple[int, int]]:
     return out
 
 
+def tensor_type(s: Settings) -> pa.FixedShapeTensorType:
+    return pa.fixed_shape_tensor(pa.float32(), (s.frames, s.mels))
+
+
+def to_stream(spans: list[tuple[float, float]], block: np.ndarray, s: Settings) -> bytes:
+    """Arrow IPC stream of (start, end, tensor): times in seconds, and tensors of the
+    one shape, which the schema states."""
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(block.ravel(), pa.float32()), s.frames * s.mels)
+    tensors = pa.ExtensionArray.from_storage(tensor_type(s), flat)
+    starts, ends = zip(*spans, strict=True)
+    batch = pa.record_batch([pa.array(starts, pa.float64()), pa.array(ends, pa.float64()), tensors], ["start", "end", "tensor"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def from_stream(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(spans, tensors) of ``to_stream``: n x 2, and n x frames x mels."""
+    table = pa.ipc.open_stream(raw).read_all().combine_chunks()
+    spans = np.stack((table["start"].to_numpy(), table["end"].to_numpy()), axis=1)
+    return spans, table["tensor"].chunk(0).to_numpy_ndarray()
+
+
 def features(wav: bytes, s: Settings) -> dict:
     samples, rate = from_wav(wav)
     x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
@@ -153,16 +179,11 @@ def features(wav: bytes, s: Settings) -> dict:
     block[: len(mel)] = mel
     spans = [(k * s.frames * seconds, min(len(mel), (k + 1) * s.frames) * seconds) for k in range(n)]
     active = [(a * seconds, b * seconds) for a, b in segments(mel.mean(axis=1), s)]
-    return {
-        "n_frames": len(mel),
-        "tensors": [{"start": a, "end": b, "values": t.astype("<f4").tobytes()} for (a, b), t in zip(spans, block.reshape(n, -1), strict=True)],
-        "segments": [{"start": a, "end": b} for a, b in active],
-    }
+    return {"n_frames": len(mel), "tensors": to_stream(spans, block, s), "segments": [{"start": a, "end": b} for a, b in active]}
 
 
-_SPAN = [("start", pa.float64()), ("end", pa.float64())]
-_TENSORS, _SEGMENTS = pa.list_(pa.struct([*_SPAN, ("values", pa.binary())])), pa.list_(pa.struct(_SPAN))
-_SQL = "n_frames long, tensors array<struct<start:double,end:double,values:binary>>, segments array<struct<start:double,end:double>>"
+_SEGMENTS = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
+_SQL = "n_frames long, tensors binary, segments array<struct<start:double,end:double>>"
 
 
 def _featured(s: Settings):
@@ -170,29 +191,42 @@ def _featured(s: Settings):
         for b in sliced(batches, 64):
             got = [features(w, s) for w in b.column(b.num_columns - 1).to_pylist()]
             yield pa.record_batch(
-                [*b.columns, pa.array([g["n_frames"] for g in got], pa.int64()), pa.array([g["tensors"] for g in got], _TENSORS), pa.array([g["segments"] for g in got], _SEGMENTS)],
-                [*b.schema.names, "n_frames", "tensors", "segments"],
+                [*b.columns[:-1], pa.array([g["n_frames"] for g in got], pa.int64()), pa.array([g["tensors"] for g in got], pa.binary()), pa.array([g["segments"] for g in got], _SEGMENTS)],
+                [*b.schema.names[:-1], "n_frames", "tensors", "segments"],
             )
 
     return run
 
 
 def audio_features(files: DataFrame, wav_col: str = "wav", settings: Settings = Settings()) -> DataFrame:
-    """``files`` and n_frames, tensors (start, end in seconds, ``frames`` x ``mels``
-    32-bit floats in dB) and active segments. A file that is no 8-bit mono WAV
-    raises; a file of no samples has one frame of silence."""
+    """``files`` without ``wav_col``, and n_frames, tensors (an Arrow stream, see
+    ``to_stream``: ``frames`` x ``mels`` 32-bit floats in dB) and active segments
+    (start, end in seconds). Columns of these three names are replaced, others stay.
+    A file that is no 8-bit mono WAV raises; a file of no samples has one frame of
+    silence; very long files give more tensors; repeated rows stay; no rows give
+    none."""
     keep = [c for c in files.columns if c not in (wav_col, "n_frames", "tensors", "segments")]
-    fields = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in [*keep, wav_col])
-    return files.select(*[F.col(f"`{c}`") for c in [*keep, wav_col]]).mapInArrow(_featured(settings), f"{fields}, {_SQL}")
-
-
-def fixed_shape(tensors: pa.Array, settings: Settings = Settings()) -> pa.Array:
-    """Tensor bytes as an Arrow array of fixed shape (frames, mels)."""
-    shape = (settings.frames, settings.mels)
-    size = shape[0] * shape[1]
-    values = np.frombuffer(b"".join(tensors.to_pylist()), "<f4")
-    flat = pa.FixedSizeListArray.from_arrays(pa.array(values, pa.float32()), size)
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), shape), flat)
+    fields = "".join(f"`{c}` {files.schema[c].dataType.simpleString()}, " for c in keep)
+    return files.select(*[F.col(f"`{c}`") for c in [*keep, wav_col]]).mapInArrow(_featured(settings), f"{fields}{_SQL}")
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in sliced(batches, 64):
+        out = []
+        for frames, raw, active in zip(*(b.column(i).to_pylist() for i in range(b.num_columns - 3, b.num_columns)), strict=True):
+            spans, tensors = from_stream(raw)
+            held = hashlib.sha256(spans.astype("<f8").tobytes() + tensors.astype("<f4").tobytes()).hexdigest()
+            times = hashlib.sha256(np.array([(t["start"], t["end"]) for t in active], "<f8").tobytes()).hexdigest()
+            out.append(f"{frames}:{len(tensors)}:{held}:{len(active)}:{times}")
+        yield pa.record_batch([*b.columns[:-3], pa.array(out, pa.string())], [*b.schema.names[:-3], "feature"])
+
+
+def digested(found: DataFrame) -> DataFrame:
+    """``found`` of ``audio_features`` with one text, feature, in the place of its
+    three columns, computed from the tensors and spans as they were read."""
+    keep = [c for c in found.columns if c not in ("n_frames", "tensors", "segments", "feature")]
+    fields = "".join(f"`{c}` {found.schema[c].dataType.simpleString()}, " for c in keep)
+    return found.select(*[F.col(f"`{c}`") for c in [*keep, "n_frames", "tensors", "segments"]]).mapInArrow(_digested, f"{fields}feature string")
 
 
 def _stored(rate: int):

@@ -11,8 +11,9 @@ for a size's count is decided by a seeded hash.
 
 The histogram has one row for each distinct size of a source, and k distinct
 sizes need k * (k - 1) / 2 words, so it grows with the square root of the data at
-most. Documents are ranked within sub-groups of a size by hash, so a size that
-very many documents share is never sorted in one task.
+most. Documents of a size are dealt by hash into groups, more where there are more
+rows; whole groups are taken in order and only the one group that is taken in part
+is ranked. So a size that very many documents share is never sorted in one task.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.skew import join_unique
 from tidemark.llm.scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
-GROUPS = 256
+GROUP = 100_000  # rows of a group, where all rows have one size
 LAST = 1 << 15  # words that the dynamic programme covers
 
 
@@ -54,8 +56,10 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIG
 
 def fit_counts(histogram: dict[int, int], budget: int, last: int = LAST) -> dict[int, int]:
     """How many documents of each size to take so that their sizes sum to the
-    largest reachable value up to ``budget``: in proportion, then greedily, then
-    by dynamic programming over the last ``last`` words."""
+    largest value up to ``budget`` that is reached this way: in proportion, then
+    greedily, then by dynamic programming over the last ``last`` words. The greedy
+    steps stop with more than ``last`` words left only where each document left is
+    larger than the rest, and then nothing more could be taken by any way."""
     sizes = sorted((s for s, c in histogram.items() if s > 0 and c > 0), reverse=True)
     total = sum(s * histogram[s] for s in sizes)
     if budget >= total:
@@ -99,13 +103,17 @@ def plan(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, sha
     Defined cases: null and empty texts have size 0 and are never taken; null is a
     source of its own, last in order; a source of size 0 has target 0; equal rows
     rank in any order, which gives equal results; no rows give no rows. The table
-    of sources, one row each, is read by the driver for the targets.
+    of sources, one row each, is read by the driver for the targets. Rows are read
+    several times: ``docs`` should be a stored table. Very long texts only have a
+    large size; columns other than the three are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     key = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
+    total = docs.count()
+    groups = max(16, -(-total // GROUP))
     rows = docs.select("doc_id", "source", "size", key.alias("key"), F.xxhash64(F.lit(seed), "doc_id", "size").alias("h")).withColumn(
-        "g", F.pmod("h", F.lit(GROUPS)).cast("int")
+        "g", F.pmod("h", F.lit(groups)).cast("int")
     )
     cells = scratch.stage(rows.groupBy("key", "size", "g").agg(F.count("*").alias("n"), F.first("source").alias("source")), "cells")
     sums = [(None if r.none else r.name, int(r.words)) for r in cells.groupBy("key.none", "key.name").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()]
@@ -126,17 +134,21 @@ def plan(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, sha
         .applyInPandas(solve, "none boolean, name string, size long, take long")
         .select(F.struct("none", "name").alias("key"), "size", "take")
     )
-    before = Window.partitionBy("key", "size").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)  # at most GROUPS rows
-    cells = (
-        cells.join(chosen, ["key", "size"])
-        .withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .select("key", "size", "g", F.greatest(F.lit(0), F.least("n", F.col("take") - F.col("from"))).alias("quota"))
+    before = Window.partitionBy("key", "size").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)  # a row a group
+    reached = cells.withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0))).join(chosen, ["key", "size"])
+    # of a size: the last group that is taken from, how many of its rows, and how many it has
+    last = F.max(F.when(F.col("from") < F.col("take"), F.struct("g", (F.col("take") - F.col("from")).alias("quota"), "n")))
+    cuts = reached.groupBy("key", "size").agg(last.alias("last"), F.sum("n").alias("n")).select(
+        "key", "size", "n", F.coalesce("last.g", F.lit(-1)).alias("last"), F.col("last.quota").alias("quota"), (F.col("last.quota") < F.col("last.n")).alias("partly")
     )
-    rank = Window.partitionBy("key", "size", "g").orderBy("h", "doc_id")
+    placed = join_unique(rows, cuts, ["key", "size"], total)
+    partly = (F.col("g") == F.col("last")) & F.col("partly")
+    rank = Window.partitionBy("key", "size").orderBy("h", "doc_id")  # the rows of one group
+    some = placed.where(partly).withColumn("extra", (F.row_number().over(rank) <= F.col("quota")).cast("int"))
+    rest = placed.where(~F.coalesce(partly, F.lit(False))).withColumn("extra", (F.col("g") <= F.col("last")).cast("int"))
     return (
-        rows.join(cells, ["key", "size", "g"])
-        .withColumn("extra", (F.row_number().over(rank) <= F.col("quota")).cast("int"))
-        .join(table, "key")
+        some.unionByName(rest)
+        .join(F.broadcast(table), "key")  # one row a source, which the driver has read
         .select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(0).alias("times"))
     )
 
@@ -158,7 +170,7 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     as it is taken, with the columns of ``docs``. Rows that share doc_id, source
     and size share one decision, made on the first of them."""
     names = docs.columns
-    base = sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size").distinct()
+    base = Scratch(docs.sparkSession, "mixing").stage(sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size").distinct(), "sizes")
     times = plan(base, seed).where("times > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "times")
     full = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("__n"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size"))

@@ -25,7 +25,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select(
         "doc_id",
-        (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).alias("held_out"),
+        F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
         F.size("passages").alias("n_passages"),
@@ -61,7 +61,7 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.sized(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "size")
-    return mixing.plan(docs).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    return mixing.plan(Scratch(spark, "mixing").stage(docs, "sizes")).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,11 +76,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media.audio_features(media.store(_table(spark, sf_dir, "documents")))
-    raw = media.samples()
-    values = F.expr("aggregate(tensors, X'', (a, t) -> unhex(sha2(concat(a, t.values), 256)))")
-    spans = F.expr("array_join(transform(segments, s -> concat(s.start, '-', s.end)), ',')")
-    return found.select(
+    files, raw = media.store(_table(spark, sf_dir, "documents")), media.samples()
+    described = files.select(
         "doc_id",
         "n_bytes",
         F.octet_length(raw).cast("long").alias("payload_bytes"),
@@ -88,8 +85,9 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring(raw, -64, 64)).alias("tail_crc32"),
         F.octet_length("wav").cast("long").alias("media_bytes"),
         F.sha2("wav", 256).alias("media_sha256"),
-        F.concat_ws(":", "n_frames", F.size("tensors"), F.lower(F.hex(values)), F.size("segments"), F.sha2(spans, 256)).alias("feature"),
+        "wav",
     )
+    return media.digested(Scratch(spark, "media").stage(media.audio_features(described), "features"))
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ id closes each document; nothing says where documents lie. The scan cuts files
 into blocks, finds the end ids of a block with one vector comparison, and stitches
 documents that cross block borders with prefix scans over one summary row a
 block: a running sum of ids and of end ids, and a running maximum of the last end
-seen. No block waits for another, and no document is gathered.
+seen. No document is gathered, whatever blocks it crosses. A file is the unit of
+reading; the writer's files are as large as what one task of its input holds.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.batches import sliced
 from tidemark.llm.bpe import encoder
 from tidemark.llm.scratch import Scratch
+from tidemark.sources.shared import exists
 
 BLOCK = 1 << 18
 WORDS = 150_000  # of a generation of the encoder's cache
@@ -34,17 +36,55 @@ def _encoded(tokenizer: str, pattern: str):
     return run
 
 
+def _numbered(tokenizer: str, pattern: str):
+    """Each document twice: its ids (kind 0), and its place in the task with its
+    doc_id (kind 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, at = encoder(tokenizer, pattern, np.uint16, True, WORDS), 0
+        for b in sliced(batches):
+            ids, n = coder.batch(b.column(1).to_pylist()), b.num_rows
+            names = [f"{at + i} {'' if d is None else d}".encode() for i, d in enumerate(b.column(0).to_pylist())]
+            places = np.arange(at, at + n)
+            kinds = np.repeat(np.array([0, 1], np.int32), n)
+            yield pa.record_batch([pa.array(kinds), pa.array(np.concatenate((places, places))), pa.array([*ids, *names], pa.binary())], ["kind", "place", "value"])
+            at += n
+
+    return run
+
+
+def _separator(end_id: int) -> str:
+    return end_id.to_bytes(2, "little").decode("latin-1")
+
+
 def write_flat(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int) -> None:
     """One flat file of 16-bit ids a partition of ``docs`` (text), in row order.
     The text writer puts its line separator, here the end id, behind each row's
-    bytes, so the files are written by Spark's own commit protocol to any store.
-    Null text is an empty document: its end id alone."""
+    bytes, so the files are written by Spark's own commit protocol to any store;
+    it passes bytes that are no UTF-8 through, which the tests hold it to. Null text
+    is an empty document: its end id alone; no rows give files without ids."""
     (
         docs.select(F.col("text").cast("string"))
         .mapInArrow(_encoded(tokenizer, pattern), "ids binary")
         .select(F.col("ids").cast("string").alias("value"))
         .write.option("encoding", "ISO-8859-1")
-        .option("lineSep", end_id.to_bytes(2, "little").decode("latin-1"))
+        .option("lineSep", _separator(end_id))
+        .text(path)
+    )
+
+
+def write_numbered(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int) -> None:
+    """The flat files of ``docs`` (doc_id, text) below kind=0 and, written by the same
+    tasks, what document stands at which place of a file below kind=1. So the names
+    hold whatever deals the rows out, and a task that runs twice writes both again."""
+    (
+        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        .mapInArrow(_numbered(tokenizer, pattern), "kind int, place long, value binary")
+        .sortWithinPartitions("kind", "place")
+        .select("kind", F.col("value").cast("string").alias("value"))
+        .write.option("encoding", "ISO-8859-1")
+        .option("lineSep", _separator(end_id))
+        .partitionBy("kind")
         .text(path)
     )
 
@@ -117,17 +157,20 @@ def scan_flat(spark: SparkSession, path: str, end_id: int, dtype: str = "<u2", b
 
 def token_counts(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, block: int = BLOCK) -> DataFrame:
     """(doc_id, file_no, ordinal, start, n_tokens) of every row of ``docs``
-    (doc_id, text), by writing flat files and scanning them. File p holds
-    partition p in row order, which is how a document found at an ordinal gets its
-    doc_id back; ``docs`` has to be a plain scan, whose partitions are the same
-    each time it is read."""
+    (doc_id, text), by writing flat files and scanning them. ``docs`` is read once,
+    and may be any table.
+
+    Defined cases: null and empty texts have their end id alone; very long texts
+    cross blocks; rows that share a doc_id, null ones included, are documents of
+    their own; no rows give none; columns other than the two are not read."""
     spark = docs.sparkSession
     path = Scratch(spark, "flat").path("ids")
-    write_flat(docs.select("text"), path, tokenizer, pattern, end_id)
-    found = scan_flat(spark, path, end_id, block=block).select(
-        F.regexp_extract("file", r"part-(\d+)", 1).cast("long").alias("file_no"), "ordinal", "start", "n_tokens"
-    )
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("m")).select(
-        "doc_id", F.shiftright("m", 33).alias("file_no"), F.col("m").bitwiseAND((1 << 33) - 1).alias("ordinal")
-    )
+    write_numbered(docs, path, tokenizer, pattern, end_id)
+    if not exists(spark, f"{path}/kind=0"):  # no documents
+        return spark.createDataFrame([], "doc_id long, file_no long, ordinal long, start long, n_tokens long")
+    number = lambda c: F.regexp_extract(c, r"part-(\d+)", 1).cast("long").alias("file_no")
+    found = scan_flat(spark, f"{path}/kind=0", end_id, block=block).select(number(F.col("file")), "ordinal", "start", "n_tokens")
+    lines = spark.read.option("encoding", "ISO-8859-1").option("lineSep", _separator(end_id)).text(f"{path}/kind=1")
+    parts = F.split("value", " ")
+    named = lines.select(number(F.col("_metadata.file_path")), parts[0].cast("long").alias("ordinal"), F.nullif(parts[1], F.lit("")).cast("long").alias("doc_id"))
     return named.join(found, ["file_no", "ordinal"], "full").select("doc_id", "file_no", "ordinal", "start", "n_tokens")
