@@ -43,7 +43,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["fuzzy_pairs", "linked_numbers", "resolve_all", "synthetic_rows"])
+@pytest.mark.parametrize("name", ["fuzzy_pairs", "resolve_all", "synthetic_rows"])
 def test_query_without_sql_gives_rows(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 

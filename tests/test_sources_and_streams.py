@@ -186,7 +186,7 @@ def test_split_and_oversampling(spark):
 def test_classifiers_tell_classes_apart(spark):
     rows = [(i, i % 2, float(i % 2), float(i % 2), 0.5 * (i % 2), 0.5 * (i % 2), float(i % 7)) for i in range(80)]
     df = spark.createDataFrame(rows, "row_id int, record_class int, cluster double, density_cluster double, mean_cosine double, mean_cosine_2 double, centroid_distance double")
-    scores = L.meta_classify(df, trees=2, models=("logistic", "forest", "ada"))
+    scores = L.meta_classify(df, trees=2, models=("logistic", "forest", "gradient", "ada", "extreme"))
     assert all(s["accuracy"] == 1 for s in scores.values())
     assert "reason" in L.meta_classify(df.where("record_class = 0"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import patterns as P
 from tidemark.functions.columns import as_text, is_numeric, numeric_columns, qcol, text_columns
 from tidemark.sources.shared import write_text
+from tidemark.sources.tables import with_row_id
 
 
 def long_form(df: DataFrame, cols: list[str] | None = None, ids: list[str] | None = None) -> DataFrame:
@@ -251,13 +252,15 @@ def duplicate_values(df: DataFrame, row_id: str, cols: list[str] | None = None)
 def infer_patterns(df: DataFrame, cols: list[str] | None = None, sample_size: int | None = None, ruleset: int = 1, seed: int = 42) -> DataFrame:
     """(column_name, pattern) that every present value of a column matches: its
     values' format classes combined; ``.*`` where there are no values. All rows are
-    used; ``sample_size`` draws that many of a column by a seeded hash instead.
+    used; ``sample_size`` draws that many present values of a column instead, by a
+    seeded hash of the rows' order, so a stored table gives the same draw each time.
     Set 1 joins several classes in a group, set 2 by bars without anchors."""
     cols = cols or df.columns
-    cells = long_form(df, cols).where("value is not null")
-    if sample_size is not None:
-        numbered = cells.withColumn("__h", F.xxhash64(F.lit(seed), "value", F.monotonically_increasing_id()))
-        order = Window.partitionBy("column_name").orderBy("__h")
+    if sample_size is None:
+        cells = long_form(df, cols).where("value is not null")
+    else:
+        numbered = long_form(with_row_id(df.select(*[qcol(c) for c in cols]), name="__row"), cols, ["__row"]).where("value is not null")
+        order = Window.partitionBy("column_name").orderBy(F.xxhash64(F.lit(seed), "__row"), "__row")
         cells = numbered.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= sample_size)
     classes = cells.select("column_name", P.value_class(F.col("value"), ruleset).alias("p"))
     found = classes.groupBy("column_name").agg(F.sort_array(F.collect_set("p")).alias("ps"))

@@ -26,7 +26,8 @@ ERROR_COLOUR, CORRECTION_COLOUR = "FFCCCC", "CCFFCC"
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with a header; array columns become text joined by commas."""
     flat = [F.concat_ws(", ", qcol(c)).alias(c) if t.startswith("array") else qcol(c) for c, t in df.dtypes]
-    df.select(*flat).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    writer = df.select(*flat).write.mode(mode).option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
