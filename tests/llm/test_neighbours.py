@@ -67,8 +67,8 @@ def recall(got, want):
 def test_recall_and_exact_scores(spark):
     r = np.random.default_rng(3)
     for rows in (
-        r.normal(size=(1500, 32)),
-        np.repeat(r.normal(size=(40, 16)), 30, axis=0) + 0.05 * r.normal(size=(1200, 16)),
+        r.normal(size=(700, 32)),
+        np.repeat(r.normal(size=(40, 16)), 15, axis=0) + 0.05 * r.normal(size=(600, 16)),
     ):
         data = [(i, v.tolist()) for i, v in enumerate(rows)]
         got, want = run(spark, data), brute(data, range(0, len(data), 10), 10)

@@ -373,15 +373,20 @@ def nearest(
     asked = scratch.stage(asked, "asked")
     distinct = scratch.stage(asked.groupBy("v").agg(F.min("id").alias("query")), "distinct")
     fitted = _fitted(points, sizes.n, k, tables, recall, scratch)
+    order = Window.partitionBy("query").orderBy("score", "rep")
+
+    def best(found: DataFrame, name: str) -> DataFrame:
+        """The k + 1 nearest of each query, of what all tasks found, with their rows' ids."""
+        top = found.withColumn("i", F.row_number().over(order)).where(F.col("i") <= k + 1).select("query", "rep", "score")
+        return scratch.stage(top, name).join(points.select("rep", "ids"), "rep")
+
     if fitted:
-        found = scratch.stage(_candidates(points, distinct, fitted, sizes.n, k + 1, query_bytes, scratch), "found")
-        counted = found.join(points.select("rep", F.size("ids").alias("n")), "rep").groupBy("query").agg(F.sum("n").alias("n"))
-        few = distinct.join(counted.where(F.col("n") > k), "query", "left_anti")
+        near = best(_candidates(points, distinct, fitted, sizes.n, k + 1, query_bytes, scratch), "found")
+        enough = near.groupBy("query").agg(F.sum(F.size("ids")).alias("n")).where(F.col("n") > k)
+        few = scratch.stage(distinct.join(enough, "query", "left_anti").select("query", "v"), "few")
+        near = near.join(few.select("query"), "query", "left_anti").unionByName(best(_exact(points, few, k + 1, scratch), "exact"))
     else:
-        found, few = spark.createDataFrame([], _FOUND), distinct
-    found = found.unionAll(_exact(points, few, k + 1, scratch)).distinct()
-    order = Window.partitionBy("query").orderBy("score", "rep")
-    near = found.withColumn("i", F.row_number().over(order)).where(F.col("i") <= k + 1).join(points.select("rep", "ids"), "rep")
+        near = best(_exact(points, distinct, k + 1, scratch), "exact")
     # back to every query, and from distinct vectors to rows
     names = asked.select(F.col("id").alias("query_id"), "v").join(distinct, "v").select("query_id", "query")
     answers = names.join(near, "query").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
