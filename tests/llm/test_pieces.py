@@ -58,6 +58,25 @@ def test_best_sum_of_scores(model):
         assert value(model, ids) == brute(model, s), t
 
 
+def test_words_together_equal_words_alone(model):
+    r = random.Random(6)
+    alphabet = sorted(model.single)
+    words = sorted({pieces.SPACE + "".join(r.choice(alphabet[:200] if r.random() < 0.5 else alphabet) for _ in range(r.randrange(12))) for _ in range(3000)} | {p for p in model.pieces if p.startswith(pieces.SPACE)})
+    got = model.together(words)
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [model.best(w) for w in words]
+
+
+def test_batches_and_small_caches_change_nothing(model, monkeypatch):
+    want = [model.encode(t) for t in texts()]
+    for held, longest, piece in ((5, 48, 1 << 19), (1 << 21, 3, 30), (40, 48, 7)):
+        monkeypatch.setattr(pieces, "HELD", held)
+        monkeypatch.setattr(pieces, "LONGEST", longest)
+        monkeypatch.setattr(pieces, "PIECE", piece)
+        model.forget()
+        assert [ids for i in range(0, len(texts()), 40) for ids in model.batch(texts()[i : i + 40])] == want
+    model.forget()
+
+
 def test_round_trip(model):
     docs = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column(0).to_pylist()
     for t in texts() + docs:
