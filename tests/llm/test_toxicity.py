@@ -102,12 +102,94 @@ def test_every_unit_stays(spark):
     assert all(model.units.get(name(i)) is not None for i in range(n))
 
 
-def test_units_by_hash(spark):
-    names = ["word", "^wor", "\u00fcber", "\u4e2d\u6587", "", "a" * 300]
-    got = toxicity._hashed(spark.createDataFrame([(w, float(k)) for k, w in enumerate(names)], "unit string, s float")).toArrow()
-    units = toxicity.Units(*[got[c].to_numpy() for c in "hcs"])
+def test_units_by_hash():
+    names = ["word", "^wor", "wor", "\u00fcber", "\u4e2d\u6587", "a" * 300]
+    units = toxicity.Units(np.array([toxicity.hash_of(w) for w in names]), np.arange(6, dtype=np.float32))
     assert [units.get(w) for w in names] == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0]
-    assert units.get("other") is None and toxicity.Units().get("word") is None
+    assert units.get("other") is None and units.get("^word") is None and toxicity.Units().get("word") is None
+
+
+def test_token_scores_equal_a_walk_over_strings(monkeypatch):
+    r = random.Random(9)
+    atoms = ["alpha", "alphabet", "al", "beta", "\u00e9t\u00e9", "\u6f22\u5b57", ".", "-", "'", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "(", "x" * 40, "7", "\U0001f600", "\u0130"]
+    units = {u: r.uniform(-2, 2) for u in ("alpha", "^alp", "^alph", "beta", "^bet", "\u00e9t\u00e9", "^x" + "x" * 5, "7", "^\u6f22\u5b57")}
+    model = toxicity.Model(toxicity.Units(np.array([toxicity.hash_of(u) for u in units]), np.array(list(units.values()), np.float32)))
+
+    def of(word):
+        for u in [word, *["^" + word[:n] for n in (6, 5, 4, 3) if len(word) >= n]]:
+            if u in units:
+                return np.float32(units[u])
+        return 0.0
+
+    texts = [None, "", " "] + ["".join(r.choice(atoms) for _ in range(r.randrange(60))) for _ in range(200)]
+    want = []
+    for t in texts:
+        raw = (t or "").lower().split()
+        want.append([max((of(w) for w in "".join(c if c.isalnum() else " " for c in x).split()), default=0.0) - model.drift for x in raw])
+    for piece in (1 << 19, 40):
+        monkeypatch.setattr("tidemark.llm.hashing.PIECE", piece)
+        got = toxicity.Scanner(model).tokens(texts)
+        assert all(len(x) == len(w) and np.allclose(x, w) for (_, x), w in zip(got, want, strict=True))
+    for t, (tokens, x) in zip(texts, got, strict=True):
+        raw = (t or "").lower().split()
+        assert len(set(zip(raw, tokens.tolist(), strict=True))) == len(set(raw)) == len(set(tokens.tolist()))
+        assert np.isclose(toxicity.best_score(x), max((v for *_, v in toxicity.segments(x)), default=0.0))
+
+
+def test_smoothed_rates_equal_the_formula(spark):
+    counts = {"abcdefg": (3, 1), "abcdefh": (0, 5), "abcxyz": (4, 0), "ab": (2, 7), "zzz": (1, 30)}
+    rows = []
+    for w, (t, n) in counts.items():
+        rows.append((toxicity.hash_of(w), *[toxicity.hash_of("^" + w[:k]) if len(w) >= k else None for k in toxicity.PREFIXES], t, n))
+    units, spread = toxicity._units(spark.createDataFrame(rows, toxicity._COUNTS), 5.0, 1, 0.0, 0.3)
+    all_t, all_n = sum(t for t, _ in counts.values()) + 1, sum(n for _, n in counts.values()) + 1
+    root = all_t / (all_t + all_n)
+
+    def rate(word, whole):
+        up = root
+        for k in toxicity.PREFIXES:
+            if len(word) >= k:
+                t, n = (sum(c[i] for w, c in counts.items() if w[:k] == word[:k] and len(w) >= k) for i in (0, 1))
+                up = (t + 5 * up) / (t + n + 5)
+        return (counts[word][0] + 5 * up) / (sum(counts[word]) + 5) if whole else up
+
+    value = lambda p: np.log(p / (1 - p)) - np.log(root / (1 - root))
+    for w in counts:
+        assert np.isclose(units.get(w), value(rate(w, True)), atol=1e-5)
+        for k in toxicity.PREFIXES:
+            if len(w) >= k:
+                assert np.isclose(units.get("^" + w[:k]), value(rate(w[:k], False) if w[:k] in counts else prefix_rate(counts, w[:k], root)), atol=1e-5)
+    assert sum(n for _, n in spread) == sum(n for _, n in counts.values())
+
+
+def prefix_rate(counts, prefix, root):
+    up = root
+    for k in toxicity.PREFIXES:
+        if len(prefix) >= k:
+            t, n = (sum(c[i] for w, c in counts.items() if w[:k] == prefix[:k] and len(w) >= k) for i in (0, 1))
+            up = (t + 5 * up) / (t + n + 5)
+    return up
+
+
+def test_lambda_solves_its_equation():
+    spread = [(-0.5, 900.0), (0.4, 80.0), (2.0, 3.0)]
+    v = toxicity._lambda(spread)
+    assert np.isclose(sum(n * np.exp(v * x) for x, n in spread) / sum(n for _, n in spread), 1.0)
+
+
+def test_logistic_weights_are_stationary():
+    cells = [(-2.0, 0.0, 0, 50), (1.0, 0.5, 0, 5), (3.0, 1.0, 1, 20), (0.0, 0.2, 1, 4)]
+    w = np.array(toxicity._logistic(cells))
+    x, y, n = np.array([[1, a, b] for a, b, _, _ in cells]), np.array([c[2] for c in cells]), np.array([c[3] for c in cells])
+    assert np.allclose(x.T @ (n * (y - 1 / (1 + np.exp(-x @ w)))), np.array([1e-3, 1, 1]) * w, atol=1e-5)
+
+
+def test_ids_of_text_teach_too(spark):
+    docs, labels, _ = data(spark, 200)
+    named = lambda d: d.withColumn("doc_id", d.doc_id.cast("string"))
+    a = toxicity.fit(docs, labels)
+    b = toxicity.fit(named(docs), named(labels))
+    assert a.weights == b.weights and (a.units.hashes == b.units.hashes).all()
 
 
 def test_passages_do_not_depend_on_earlier_repeats(spark):
@@ -129,7 +211,7 @@ def test_passages_do_not_depend_on_earlier_repeats(spark):
 
 
 def test_damping_ignores_order():
-    words, x = ["a", "a", "b", "a", "a", "c"], np.array([1.0, 1, 2, 1, 1, -0.5])
+    words, x = np.array([1, 1, 2, 1, 1, 3]), np.array([1.0, 1, 2, 1, 1, -0.5])
     back = toxicity.damped(words[::-1], x[::-1], 5.5)
     assert np.isclose(back, toxicity.damped(words, x, 5.5)) and np.isclose(back, 5.5 * 5 / 6)
-    assert toxicity.damped(["a", "b", "c", "d"], np.ones(4), 4.0) == 4.0
+    assert toxicity.damped(np.arange(4), np.ones(4), 4.0) == 4.0
