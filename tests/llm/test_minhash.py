@@ -2,7 +2,10 @@ import itertools
 import random
 import re
 
+from tidemark.llm import components, minhash
+from tidemark.llm.components import connected_components
 from tidemark.llm.minhash import near_duplicates
+from tidemark.llm.scratch import Scratch
 
 
 def brute(rows, words, percent):
@@ -69,3 +72,31 @@ def test_defined_cases(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_words_by_hash():
+    r = random.Random(2)
+    marks = ["a", "B", "\u00e9", " ", "  ", "\n", "\t", "\x0b", "\x85", "\u00a0", ".", "zz"]
+    docs = [None, "", " "] + ["".join(r.choice(marks) for _ in range(r.randrange(40))) for _ in range(300)]
+    got = minhash.word_hashes([None if t is None else t.encode() for t in docs])
+    of = {}
+    for t, h in zip(docs, got, strict=True):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        assert len(words) == len(h)
+        assert all(of.setdefault(w, x) == x for w, x in zip(words, h.tolist(), strict=True))
+    assert len(set(of.values())) == len(of)
+
+
+def test_hot_nodes_and_shingles_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SALT", 3)
+    rows = texts(7)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == brute(rows, 3, 85)
+
+
+def test_components_with_a_star(spark, monkeypatch):
+    monkeypatch.setattr(components, "MANY", 5)
+    edges = [(500, i) for i in range(40)] + [(i, i + 1000) for i in range(0, 40, 3)] + [(2000 + i, 2001 + i) for i in range(6)] + [(7, 7), (None, 3)]
+    got = connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test"))
+    want = {i: 0 for i in [500, *range(40), *range(1000, 1040, 3)]} | {i: 2000 for i in range(2000, 2007)}
+    assert {r.node: r.component for r in got.collect()} == {n: c for n, c in want.items() if n != c}

@@ -6,18 +6,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.skew import join_unique
 from tidemark.llm.scratch import Scratch
 
+MANY = 1_000  # neighbours of a node that one task may well take
+
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) links -> (node, component): the smallest node reachable, for every
     node with a link to another. Self links and repeated links change nothing;
     links with a null end are ignored; no links give no rows.
 
-    Each step groups by node with map-side minima and joins the minima back, so
-    a node with very many neighbours is a skewed join, which adaptive execution
-    splits. The links never reach the driver; only a count and a hash sum do, to
-    see whether a round changed anything.
+    Each step groups by node with map-side minima and joins the minima back. The
+    minima of nodes with very many neighbours, few by arithmetic, are broadcast, so
+    the centre of a star is no single task. The links never reach the driver; only
+    a count and a hash sum do, to see whether a round changed anything.
     """
     links = scratch.stage(
         edges.where(F.col("a") != F.col("b"))
@@ -29,11 +32,11 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     step = 0
     while mark[0]:
         both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = join_unique(both, least, "a", 2 * mark[0], least=MANY).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = (
-            large.join(low, "a")
+            join_unique(large, low, "a", 2 * mark[0], least=MANY)
             .select(F.explode(F.array("b", "a")).alias("a"), F.col("m").alias("b"))
             .where("a <> b")
             .distinct()

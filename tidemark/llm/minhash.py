@@ -28,42 +28,39 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.skew import join_unique
 from tidemark.llm.batches import sliced
 from tidemark.llm.components import connected_components
+from tidemark.llm.hashing import _MIX, Sums, edges, mixed, numbers, pieces
 from tidemark.llm.scratch import Scratch
 
 CIRCLE = 1 << 20
-WORD_CACHE = 100_000
-
+SALT = 1_000  # rows of a shingle on one side of a join that one task takes
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-
-
-class WordHashes(dict):
-    """Word -> 64-bit hash; the cache starts anew when it is full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """The finishing step of splitmix64."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
-    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_set(text: bytes | None, words: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of ``words`` words; of the whole
-    sequence where it is shorter; none for no words or null."""
-    seq = text.translate(_LOWER).split() if text else []
-    if not seq:
+_BLANKS = (b" ", b"\n", b"\t")
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_NUMBER = numbers(256)
+
+
+def word_hashes(texts: list[bytes | None]) -> list[np.ndarray]:
+    """Of each text the 64-bit hashes of its words in order, A-Z lower-cased."""
+    found: list[list[np.ndarray]] = [[] for _ in texts]
+    for part in pieces([t or b"" for t in texts], _BLANKS):
+        raw = np.frombuffer((b" ".join(p for _, p in part) + b" ").translate(_LOWER), np.uint8)
+        starts, ends = edges(~_BLANK[raw])
+        h = Sums(_NUMBER[raw]).of(starts, ends)
+        cuts = np.searchsorted(starts, np.cumsum([len(p) + 1 for _, p in part]))[:-1]
+        for (i, _), words in zip(part, np.split(h, cuts), strict=True):
+            found[i].append(words)
+    return [f[0] if len(f) == 1 else np.concatenate(f) for f in found]
+
+
+def shingle_set(h: np.ndarray, words: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the runs of ``words`` words, given the words'
+    hashes; of the whole sequence where it is shorter; none for no words."""
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, seq), np.uint64, len(seq))
     k = min(words, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
@@ -96,11 +93,11 @@ class Circulant:
 
 def _signed(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, circle = WordHashes(), Circulant(bands, rows)
+        circle = Circulant(bands, rows)
         for b in sliced(batches):
             n, h1, h2, keys = [], [], [], []
-            for text in b.column(1):
-                s = shingle_set(text.as_py(), words, hashes)
+            for h in word_hashes(b.column(1).to_pylist()):
+                s = shingle_set(h, words)
                 n.append(len(s))
                 if not len(s):
                     h1.append(0), h2.append(0), keys.append(None)
@@ -118,9 +115,8 @@ def _signed(words: int, bands: int, rows: int):
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in sliced(batches):
-            sets = [shingle_set(t.as_py(), words, hashes).view(np.int64) for t in b.column(1)]
+            sets = [shingle_set(h, words).view(np.int64) for h in word_hashes(b.column(1).to_pylist())]
             yield pa.record_batch([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
 
     return run
@@ -135,11 +131,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         pairs.join(left, "a")
         .join(right, "b")
         .where((100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * both >= percent * (na + nb)))
-        .select("a", "b")
+        .select(*pairs.columns)
     )
 
 
-def _across(rest: DataFrame, percent: int) -> DataFrame:
+def _across(rest: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Candidate pairs (a, b) between different labels of ``rest`` (node, label,
     s), none of the links left out.
 
@@ -148,29 +144,40 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
     first n - needed + 1, where needed is the overlap the sizes ask for, and the
     first one they share leaves at least the needed overlap behind it. A text far
     from all others has only rare shingles in front and meets nobody. Of a
-    shingle's rows the most frequent label is not joined with itself.
+    shingle's rows the most frequent label is not joined with itself. The rows of a
+    shingle that very many sets share are dealt by salt, ``SALT`` of one side to a
+    task, and meet its counts by broadcast.
     """
     part = percent / (100 + percent)
+    rest = scratch.stage(rest, "open")
+    total = rest.agg(F.sum(F.size("s"))).first()[0] or 0
     words = rest.select("node", "label", F.size("s").alias("n"), F.explode("s").alias("w"))
     often = words.groupBy("w").agg(F.count("*").alias("df"))
     order = Window.partitionBy("node").orderBy("df", "w")
     front = (
-        words.join(often, "w")
+        join_unique(words, often, "w", total, "df", SALT)
         .withColumn("i", F.row_number().over(order) - 1)
         .where((F.col("df") > 1) & (100 * (F.col("n") - F.col("i")) >= percent * F.col("n")))
         .select("w", "node", "label", "n", "i")
     )
-    most = front.groupBy("w", "label").agg(F.count("*").alias("c")).groupBy("w").agg(F.max_by("label", "c").alias("most"), F.count("*").alias("labels"))
-    front = front.join(most.where("labels > 1"), "w")
-    left = front.where("label <> most").select("w", *[F.col(c).alias(f"{c}0") for c in ("node", "label", "n", "i")])
-    right = front.select("w", *[F.col(c).alias(f"{c}1") for c in ("node", "label", "n", "i")])
+    front = scratch.stage(front, "front")
+    most = front.groupBy("w", "label").agg(F.count("*").alias("c")).groupBy("w").agg(
+        F.max_by("label", "c").alias("most"), F.count("*").alias("labels"), F.sum("c").alias("rows"), F.max("c").alias("top")
+    )
+    salts = F.ceil((F.col("rows") - F.col("top")) / SALT).cast("int")
+    most = most.select("w", "most", "labels", "rows", F.greatest(salts, F.lit(1)).alias("salts"))
+    front = join_unique(front, most, "w", front.count(), "rows", SALT).where("labels > 1")
+    left = front.where("label <> most").select("w", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), *[F.col(c).alias(f"{c}0") for c in ("node", "label", "n", "i")])
+    right = front.select("w", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(c).alias(f"{c}1") for c in ("node", "label", "n", "i")])
     fits = (
         (F.col("label0") != F.col("label1"))
         & (100 * F.least("n0", "n1") >= percent * F.greatest("n0", "n1"))
         & (F.least(F.col("n0") - F.col("i0"), F.col("n1") - F.col("i1")) >= F.floor(part * (F.col("n0") + F.col("n1")) - 1e-6))
     )
-    pairs = left.alias("x").join(right.alias("y"), (F.col("x.w") == F.col("y.w")) & fits)
-    return pairs.select(F.least("node0", "node1").alias("a"), F.greatest("node0", "node1").alias("b")).distinct()
+    pairs = left.alias("x").join(right.alias("y"), (F.col("x.w") == F.col("y.w")) & (F.col("x.salt") == F.col("y.salt")) & fits)
+    ends = F.when(F.col("node0") < F.col("node1"), F.struct(F.col("node0").alias("a"), F.col("node1").alias("b"), F.col("label0").alias("la"), F.col("label1").alias("lb")))
+    ends = ends.otherwise(F.struct(F.col("node1").alias("a"), F.col("node0").alias("b"), F.col("label1").alias("la"), F.col("label0").alias("lb")))
+    return pairs.select(ends.alias("e")).select("e.*").distinct()
 
 
 def near_duplicates(
@@ -232,10 +239,12 @@ def near_duplicates(
     found = connected_components(links, scratch)
     labelled = shared.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("m0"), F.max("label").alias("m1")).where("m0 < m1").select("key")
-    rest = scratch.stage(labelled.join(open_keys, "key", "left_semi").select("node", "label").distinct(), "rest")
-    across = _across(rest.join(sets, "node"), percent).join(star, ["a", "b"], "left_anti")
-    more = _verified(across, sets, percent)
-    found = connected_components(links.unionAll(more), scratch)
+    rest = labelled.join(open_keys, "key", "left_semi").select("node", "label").distinct()
+    across = _across(rest.join(sets, "node"), percent, scratch).join(star, ["a", "b"], "left_anti")
+    # links between components join whole components: they are looked for among these alone
+    more = scratch.stage(_verified(across, sets, percent).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "linked1")
+    joined = connected_components(more, scratch).select(F.col("node").alias("label"), F.col("component").alias("top"))
+    found = labelled.select("node", "label").distinct().join(joined, "label", "left").select("node", F.coalesce("top", "label").alias("component"))
     of_class = classes.join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
     linked = feats.select("doc_id", "n_shingles", "h1", "h2").join(
         of_class.withColumn("live", F.lit(True)), ["h1", "h2"], "left"

@@ -7,56 +7,20 @@ the tasks it was running; nothing lives on a single machine.
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_root: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session. Where it is unset (tests, a
-    laptop) a temporary folder is made, which is only right on one machine."""
-    sc = spark.sparkContext
-    app = sc.applicationId
-    if app not in _root:
-        base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-            sc.setCheckpointDir(base)
-        _root[app] = f"{base.rstrip('/')}/tidemark-{app}"
-        atexit.register(_drop, spark, _root[app])
-    return _root[app]
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the JVM may be gone already
-        remove(spark, path)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder through Hadoop's file systems, as any store allows."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+from tidemark.sources.shared import remove, shared_path
 
 
 class Scratch:
     """The tables one call of an operator writes. ``drop()`` deletes those that
-    no longer feed the result."""
+    no longer feed the result; the others go with the application."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name, self.paths = spark, name, {}
 
     def path(self, name: str) -> str:
-        self.paths[name] = scratch_path(self.spark, f"{self.name}-{name}")
+        self.paths[name] = shared_path(self.spark, f"{self.name}-{name}")
         return self.paths[name]
 
     def stage(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
