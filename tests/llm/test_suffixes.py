@@ -75,14 +75,14 @@ def corpus(seed, n=150):
 def test_equals_brute_force(spark, monkeypatch, hot, piece):
     # functions run in other processes: constants are read through the closure's module there, so
     # the small settings are tried in this process
-    monkeypatch.setattr(suffixes, "HOT_DOCS", hot)
+    monkeypatch.setattr(suffixes, "RUN", 26 * hot)  # hot strings come in several runs
     monkeypatch.setattr(suffixes, "PIECE", piece)
     for seed in range(4):
         rows = corpus(seed)
-        assert sorted(local(rows)) == sorted(brute(rows))
+        assert sorted(local(rows, hot)) == sorted(brute(rows))
 
 
-def local(rows, tasks=4):
+def local(rows, hot, tasks=4):
     """The operator's stages in one process."""
     import pandas as pd
     import pyarrow as pa
@@ -98,13 +98,13 @@ def local(rows, tasks=4):
         batches.append([pa.record_batch([pa.array([i for i, _ in mine], pa.int64()), pa.array([hash(t) for _, t in mine], pa.int64()), pa.array([t.encode() for _, t in mine], pa.binary())], ["doc_id", "th", "text"])])
     grams = [x for b in batches for out in suffixes._grams(bits)(iter(b)) for x in out.to_pylist()]
     frame = pd.DataFrame(grams)
-    tables = {int(k): suffixes._tables(bits)(g) for k, g in frame.groupby("bucket")}
-    none = (bytes(1 << (suffixes.TABLE_BITS - bits - 3)), bytes(1 << (suffixes.HOT_BITS - bits - 3)))
-    shared = tuple(b"".join(tables[b][c].iloc[0] if b in tables else none[i] for b in range(1 << bits)) for i, c in enumerate(("shared", "hot")))
+    tables = {int(k): suffixes._tables(bits, hot)(g) for k, g in frame.groupby("bucket")}
+    shared = suffixes._joined_tables({b: (f["shared"].iloc[0], f["hot"].iloc[0]) for b, f in tables.items()}, bits)
+    assert hot > 2 or len(shared[1])
     bounds = np.array([b"b", b"c e"], "S25")
     out = [x for b in batches for o in suffixes._runs(Held(shared), Held(bounds), 3)(iter(b)) for x in o.to_pylist()]
     found = [(x["doc_id"], x["th"], x["payload"]) for x in out if x["kind"] == 1]
-    for kind, f in ((0, suffixes._merge), (2, suffixes._resolved)):
+    for kind, f in ((0, suffixes._merge), (2, lambda pdf: suffixes._merge(pdf, True))):
         for part in {x["part"] for x in out if x["kind"] == kind}:
             got = f(pd.DataFrame([x for x in out if x["kind"] == kind and x["part"] == part]))
             found += list(got.itertuples(index=False, name=None))

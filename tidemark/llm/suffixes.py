@@ -4,7 +4,8 @@ A byte of a document goes if a string of ``SPAN`` bytes that covers it also
 starts in a document with a smaller doc_id. Sorting every suffix of a corpus
 would move each byte fifty times, so only anchors are sorted: of the 26 grams of
 ``GRAM`` bytes inside a string of 50 the leftmost one with the least hash. The
-same string has the same anchor wherever it stands, hence no repeat is lost.
+same string has the same anchor wherever it stands, hence no repeat is lost; of a
+suffix only the 50 bytes count that a string can reach.
 
 1. One pass hashes the grams of each text and picks the anchors; anchors whose
    gram occurs in one document only are dropped with the help of a bit table of
@@ -21,8 +22,11 @@ same string has the same anchor wherever it stands, hence no repeat is lost.
 4. In the merged order the suffixes of one gram stand together. For each of the 26
    places of the anchor within a string, the smallest document with the same bytes
    before and behind decides whether the string is a repeat. Grams that very many
-   documents share are not gathered: their strings are spread by 128-bit hashes,
-   again one element a task for equal ones.
+   documents share are not gathered: their strings themselves are sorted, in the
+   order of a hash and then of their bytes, front-coded and merged the same way, so
+   each is a key of its own and its bytes decide. Such grams are counted exactly,
+   and from a number of documents that grows with the input, so that there are at
+   most ``MOST_HOT``, whatever the size.
 5. What was found goes back to its document as intervals, and the kept bytes are
    written.
 """
@@ -46,8 +50,9 @@ GRAM = 25
 BEFORE = SPAN - GRAM  # an anchor stands at place 0..BEFORE of a string
 KEY = SPAN + 1 + BEFORE + 1  # bytes behind, how many; bytes before, nearest first, how many
 TABLE_BITS = 27  # of the table of shared grams: 16 MB
-HOT_BITS = 22  # of the table of grams that very many documents share
-HOT_DOCS, HOT_RUNS = 50, 200  # from so many documents of one task, or tasks, a gram counts as hot
+HOT_LEAST, MOST_HOT = 2_000, 1 << 18  # a gram is hot from so many documents; as many grams at most
+RANGE = 64 << 20  # bytes of text for which there is a key range at least
+WIDE = 8 + SPAN  # a hash and a string
 SAMPLE_DOCS = 2_000  # whose anchors give the key ranges
 PIECE = 1 << 19  # bytes hashed at once
 RUN = 200_000  # anchors in a run
@@ -55,7 +60,7 @@ HELD = 800_000  # anchors gathered before those of single documents are dropped
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _AT = np.uint64((1 << 24) - 1)
-_WEIGHTS = np.random.default_rng(50).integers(0, 1 << 63, (SPAN, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_WEIGHTS = np.random.default_rng(50).integers(0, 1 << 63, SPAN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _shaken(x: np.ndarray) -> np.ndarray:
@@ -164,7 +169,8 @@ def _unpacked(raw: bytes) -> tuple:
 
 
 def _grams(bits: int):
-    """First pass: the gram hashes of a task by bucket, with two flags each."""
+    """First pass: the gram hashes of a task by bucket, with the numbers of documents
+    that have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, index, _, x, _, _ in _gathered(batches, HELD):
@@ -175,34 +181,46 @@ def _grams(bits: int):
             gram, docs = np.unique(x, return_counts=True)
             bucket = (gram >> np.uint64(64 - bits)).astype(np.int64)
             low = (gram >> np.uint64(32 - bits)).astype(np.uint32)
-            flags = (docs > 1).astype(np.uint8) + 2 * (docs >= HOT_DOCS).astype(np.uint8)
+            docs = docs.astype(np.uint32)
             cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist()
-            rows = [(int(bucket[a]), _packed(low[a:b], flags[a:b])) for a, b in zip(cuts, [*cuts[1:], len(gram)], strict=True)]
+            rows = [(int(bucket[a]), _packed(low[a:b], docs[a:b])) for a, b in zip(cuts, [*cuts[1:], len(gram)], strict=True)]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"])
 
     return run
 
 
-def _tables(bits: int):
+def _tables(bits: int, hot_least: int):
     """Of one bucket: which table slots hold a gram of two documents or more, and
-    which a hot one."""
+    the hashes of the hot grams."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, flags = map(np.concatenate, zip(*map(_unpacked, pdf["payload"]), strict=True))
+        low, docs = map(np.concatenate, zip(*map(_unpacked, pdf["payload"]), strict=True))
         order = np.argsort(low, kind="stable")
-        low, flags = low[order], flags[order]
+        low, docs = low[order], docs[order].astype(np.int64)
         cuts = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-        runs, flags, low = np.diff(np.append(cuts, len(low))), np.bitwise_or.reduceat(flags, cuts), low[cuts]
-        out = []
-        for table, keep in ((TABLE_BITS, (runs > 1) | (flags & 1 > 0)), (HOT_BITS, (runs >= HOT_RUNS) | (flags & 2 > 0))):
-            slots = np.zeros(1 << (table - bits), np.uint8)
-            slots[low[keep] >> np.uint32(32 - table + bits)] = 1
-            out.append(np.packbits(slots).tobytes())
-        return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "shared": [out[0]], "hot": [out[1]]})
+        docs, low = np.add.reduceat(docs, cuts), low[cuts]
+        slots = np.zeros(1 << (TABLE_BITS - bits), np.uint8)
+        slots[low[docs > 1] >> np.uint32(32 - TABLE_BITS + bits)] = 1
+        hot = low[docs >= hot_least].astype("<u4").tobytes()
+        return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "shared": [np.packbits(slots).tobytes()], "hot": [hot]})
 
     return run
 
 
+def _joined_tables(tables: dict[int, tuple[bytes, bytes]], bits: int) -> tuple[bytes, np.ndarray, int]:
+    """The bit table, the sorted first ``bits`` + 32 bits of the hot grams, and the
+    number of bits to shift a gram's hash by for that."""
+    none = bytes(1 << max(0, TABLE_BITS - bits - 3))
+    hot = [(np.uint64(b) << np.uint64(32)) + np.frombuffer(raw, "<u4").astype(np.uint64) for b, (_, raw) in sorted(tables.items())]
+    return b"".join(tables[b][0] if b in tables else none for b in range(1 << bits)), np.concatenate([np.empty(0, np.uint64), *hot]), 32 - bits
+
+
+def _is_hot(hot: np.ndarray, shift: int, x: np.ndarray) -> np.ndarray:
+    key = x >> np.uint64(shift)
+    at = np.minimum(hot.searchsorted(key), max(0, len(hot) - 1))
+    return hot[at] == key if len(hot) else np.zeros(len(x), bool)
+
+
 def _hit(table: bytes, bits: int, x: np.ndarray) -> np.ndarray:
     slot = (x >> np.uint64(64 - bits)).astype(np.int64)
     return (np.frombuffer(table, np.uint8)[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
@@ -259,10 +277,10 @@ def _by_doc(ids: np.ndarray, hashes: np.ndarray, pos: np.ndarray, mask: np.ndarr
 
 def _runs(shared, splitters, buckets: int):
     """Second pass: sorted, front-coded runs by key range (kind 0), what a task
-    can decide alone (kind 1), and the strings of hot grams by hash (kind 2)."""
+    can decide alone (kind 1), and runs of the strings of hot grams (kind 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, hot_table = shared.value
+        table, hot_grams, shift = shared.value
         bounds = splitters.value
 
         def candidates():
@@ -285,16 +303,18 @@ def _runs(shared, splitters, buckets: int):
             cuts = np.flatnonzero(new)
             least = np.repeat(owner[cuts], np.diff(np.append(cuts, len(owner))))
             later = owner > least
-            out = [(1, r[1] % buckets, *r) for r in _by_doc(owner[later], hashes[index[later]], pos[later], _valid(keys[later]))]
+            out = [(1, r[0] % buckets, *r) for r in _by_doc(owner[later], hashes[index[later]], pos[later], _valid(keys[later]))]
             # what stays: the occurrences in the smallest document of each key
             own = ~later
             group = (np.cumsum(new) - 1)[own]
             refs = (index[own], pos[own], np.bincount(group, minlength=len(cuts)))
             keys, owner, x = keys[cuts], owner[cuts], x[cuts]
             begin = np.concatenate(([0], np.cumsum(refs[2])))
-            hot = _hit(hot_table, HOT_BITS, x)
+            hot = _is_hot(hot_grams, shift, x)
             out += _front_coded(keys, refs, begin, np.flatnonzero(~hot), ids, hashes, bounds)
-            out += _hot_strings(keys, owner, refs, begin, np.flatnonzero(hot), ids, hashes, buckets)
+            hot = np.flatnonzero(hot)
+            for a in range(0, len(hot), RUN // (BEFORE + 1)):
+                out += _hot_strings(keys, owner, refs, begin, hot[a : a + RUN // (BEFORE + 1)], ids, hashes, buckets)
             if out:
                 yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _ROWS, strict=True)], schema=_ROWS)
 
@@ -308,6 +328,14 @@ def _spread(begin: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first + np.arange(len(first)), np.repeat(np.arange(len(which)), counts)
 
 
+def _tails(k: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """Front-codes sorted, different keys: the bytes each shares with the one before,
+    and the rest of all."""
+    differs = k[1:] != k[:-1]
+    shared = np.concatenate(([0], differs.argmax(axis=1))).astype(np.uint8)
+    return shared, k[np.arange(k.shape[1])[None, :] >= shared[:, None]].tobytes()
+
+
 def _front_coded(keys, refs, begin, which, ids, hashes, bounds) -> list[tuple]:
     if not len(which):
         return []
@@ -315,69 +343,56 @@ def _front_coded(keys, refs, begin, which, ids, hashes, bounds) -> list[tuple]:
     out = []
     for p in np.unique(part).tolist():  # ascending, as the keys are
         mine = which[part == p]
-        k = keys[mine]
-        differs = k[1:] != k[:-1]
-        shared = np.concatenate(([0], differs.argmax(axis=1))).astype(np.uint8)
-        tails = k[np.arange(KEY)[None, :] >= shared[:, None]].tobytes()
         at, _ = _spread(begin, mine)
         used, local = np.unique(refs[0][at], return_inverse=True)
-        out.append((0, p, None, None, _packed(shared, tails, refs[2][mine].astype(np.uint32), local.astype(np.uint32), _narrow(refs[1][at]), ids[used], hashes[used])))
+        out.append((0, p, None, None, _packed(*_tails(keys[mine]), refs[2][mine].astype(np.uint32), local.astype(np.uint32), _narrow(refs[1][at]), ids[used], hashes[used])))
     return out
 
 
 def _hot_strings(keys, owner, refs, begin, which, ids, hashes, buckets: int) -> list[tuple]:
-    if not len(which):
-        return []
+    """The strings of some elements as a run of their own: a hash, which deals them
+    to the owners of its ranges, and the bytes."""
     k, own = keys[which], owner[which]
     fits, parts = _valid(k), []
     for t in range(BEFORE + 1):
         e = np.flatnonzero(fits >> np.uint32(t) & np.uint32(1))
-        h = (_string(k[e], t).astype(np.uint64) + np.uint64(1)) @ _WEIGHTS
-        parts.append((_shaken(h[:, 0]), _shaken(h[:, 1] ^ _M2), e, np.full(len(e), t, np.uint32)))
-    h1, h2, e, t = map(np.concatenate, zip(*parts, strict=True))
-    order = np.lexsort((own[e], h2, h1))
-    h1, h2, e, t = h1[order], h2[order], e[order], t[order]
-    cuts = np.flatnonzero(np.concatenate((np.ones(min(1, len(h1)), bool), (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))))
-    least = np.repeat(own[e[cuts]], np.diff(np.append(cuts, len(e))))
-    later = own[e] > least
-
-    def references(some: np.ndarray):
-        at, of = _spread(begin, which[e[some]])
-        return refs[0][at], refs[1][at], np.uint32(1) << t[some][of], of
-
-    i, p, mask, _ = references(np.flatnonzero(later))
-    out = [(1, r[1] % buckets, *r) for r in _by_doc(ids[i], hashes[i], p, mask)]
-    keep = np.flatnonzero(~later)
-    bucket = (h1[keep] % np.uint64(buckets)).astype(np.int64)
-    for b in np.unique(bucket).tolist():
-        mine = keep[bucket == b]
-        i, p, mask, of = references(mine)
-        used, local = np.unique(i, return_inverse=True)
-        out.append((2, b, None, None, _packed(h1[mine][of], h2[mine][of], local.astype(np.uint32), _narrow(p), mask, ids[used], hashes[used])))
+        s = _string(k[e], t)
+        h = _shaken((s.astype(np.uint64) + np.uint64(1)) @ _WEIGHTS)
+        parts.append((np.concatenate((h.astype(">u8").view(np.uint8).reshape(-1, 8), s), axis=1), h, e, np.full(len(e), t, np.uint32)))
+    wide, h, e, t = map(np.concatenate, zip(*parts, strict=True))
+    if not len(wide):
+        return []
+    rows = np.concatenate((wide, (own[e].astype(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)), axis=1)
+    order = np.argsort(np.ascontiguousarray(rows).view(f"V{WIDE + 8}").ravel().view(f"S{WIDE + 8}"), kind="stable")
+    wide, h, e, t = wide[order], h[order], e[order], t[order]
+    cuts = np.flatnonzero(np.concatenate(([True], (wide[1:] != wide[:-1]).any(axis=1))))
+    sizes = np.diff(np.append(cuts, len(e)))
+    later = own[e] > np.repeat(own[e[cuts]], sizes)
+    at, of = _spread(begin, which[e[later]])
+    found = _by_doc(ids[refs[0][at]], hashes[refs[0][at]], refs[1][at], np.uint32(1) << t[later][of])
+    out = [(1, r[0] % buckets, *r) for r in found]
+    # what stays: the occurrences in the smallest document of each string
+    group = (np.repeat(np.arange(len(cuts)), sizes))[~later]
+    e, wide, t, part = e[~later], wide[cuts], t[cuts], ((h[cuts] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    first = np.searchsorted(group, np.arange(len(cuts) + 1))
+    for p in np.unique(part).tolist():
+        mine = np.flatnonzero(part == p)
+        some = e[first[mine[0]] : first[mine[-1] + 1]]  # a range of the hash is a stretch of the run
+        at, of = _spread(begin, which[some])
+        counts = np.bincount(group[first[mine[0]] : first[mine[-1] + 1]][of] - mine[0], minlength=len(mine))
+        used, local = np.unique(refs[0][at], return_inverse=True)
+        out.append((2, p, None, None, _packed(*_tails(wide[mine]), counts.astype(np.uint32), local.astype(np.uint32), _narrow(refs[1][at]), ids[used], hashes[used], t[mine])))
     return out
 
 
-def _resolved(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Strings of hot grams: those whose hash a smaller document has too."""
-    h1, h2, ids, hashes, pos, mask = [], [], [], [], [], []
-    for a, b, local, p, m, i, h in map(_unpacked, pdf["payload"]):
-        for held, x in zip((h1, h2, ids, hashes, pos, mask), (a, b, i[local], h[local], p, m), strict=True):
-            held.append(x)
-    h1, h2, ids, hashes, pos, mask = map(np.concatenate, (h1, h2, ids, hashes, pos, mask))
-    order = np.lexsort((ids, h2, h1))
-    h1, h2, ids, hashes, pos, mask = (x[order] for x in (h1, h2, ids, hashes, pos, mask))
-    cuts = np.flatnonzero(np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))))
-    later = ids > np.repeat(ids[cuts], np.diff(np.append(cuts, len(ids))))
-    return pd.DataFrame(_by_doc(ids[later], hashes[later], pos[later], mask[later]), columns=["doc_id", "th", "payload"])
-
-
 def _stream(payload: bytes, number: int):
     """The elements of a run in order: (key, prefix shared with the one before, owner, run, element)."""
-    shared, tails, counts, local, _, ids, _ = _unpacked(payload)
+    shared, tails, counts, local, _, ids, *_ = _unpacked(payload)
+    width = KEY if len(_) == 1 else WIDE
     owner = ids[local[np.cumsum(counts, dtype=np.int64) - counts]]
     key, at = b"", 0
     for i, (n, o) in enumerate(zip(shared.tolist(), owner.tolist(), strict=True)):
-        end = at + KEY - n
+        end = at + width - n
         key = key[:n] + tails[at:end]
         at = end
         yield key, n, o, number, i
@@ -411,7 +426,7 @@ def merged(streams: list) -> Iterator[tuple[int, bytes, int, int, int]]:
             return b, lb, a, la
         p, q, n = x[0], y[0], la
         if p == q:
-            return a, la, b, KEY
+            return a, la, b, len(p)
         while p[n] == q[n]:
             n += 1
         return (a, la, b, n) if p[n] < q[n] else (b, lb, a, n)
@@ -469,37 +484,49 @@ def _covered(group: list[tuple[bytes, int, int, int]]) -> Iterator[tuple[int, in
             yield run, element, mask
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+def _same(group: list[tuple[bytes, int, int, int]]) -> Iterator[tuple[int, int, None]]:
+    """(run, element, None) for the elements of one string that are in a larger
+    document than its smallest."""
+    low = min(g[1] for g in group)
+    for _, owner, run, element in group:
+        if owner > low:
+            yield run, element, None
+
+
+def _merge(pdf: pd.DataFrame, strings: bool = False) -> pd.DataFrame:
+    """Merges the runs of a range: of suffixes, by gram, or of whole ``strings``."""
     payloads = pdf["payload"].tolist()
     found: list[list[tuple[int, int]]] = [[] for _ in payloads]
     group: list[tuple[bytes, int, int, int]] = []
+    width, decide = (WIDE, _same) if strings else (GRAM, _covered)
 
     def close() -> None:
         if len(group) > 1:
-            for run, element, mask in _covered(group):
+            for run, element, mask in decide(group):
                 found[run].append((element, mask))
         group.clear()
 
     for shared, key, owner, run, element in merged([_stream(p, i) for i, p in enumerate(payloads)]):
-        if shared < GRAM:
+        if shared < width:
             close()
         group.append((key, owner, run, element))
     close()
     out = []
     for payload, hits in zip(payloads, found, strict=True):
         if hits:
-            _, _, counts, local, pos, ids, hashes = _unpacked(payload)
-            e, mask = (np.array(x) for x in zip(*hits, strict=True))
+            _, _, counts, local, pos, ids, hashes, *places = _unpacked(payload)
+            e = np.array([h[0] for h in hits])
+            mask = np.uint32(1) << places[0][e] if strings else np.array([h[1] for h in hits]).astype(np.uint32)
             at, of = _spread(np.concatenate(([0], np.cumsum(counts, dtype=np.int64))), e)
             i = local[at]
-            out += _by_doc(ids[i], hashes[i], pos[at], mask.astype(np.uint32)[of])
+            out += _by_doc(ids[i], hashes[i], pos[at], mask[of])
     return pd.DataFrame(out, columns=["doc_id", "th", "payload"])
 
 
 def _decided(pdf: pd.DataFrame) -> pd.DataFrame:
     """All rows of a kind and part: what has been decided passes on."""
     kind = int(pdf["kind"].iloc[0])
-    return _merge(pdf) if kind == 0 else _resolved(pdf) if kind == 2 else pdf[["doc_id", "th", "payload"]]
+    return pdf[["doc_id", "th", "payload"]] if kind == 1 else _merge(pdf, kind == 2)
 
 
 def removed(lengths: np.ndarray, payloads: list[list[bytes] | None]) -> np.ndarray:
@@ -568,15 +595,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     slim = every.where("doc_id is not null")
+    size = slim.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    hot_least, ranges = max(HOT_LEAST, size // MOST_HOT), max(4 * parts, -(-size // RANGE))
     grams = slim.mapInArrow(_grams(bits), "bucket long, payload binary")
     tables = {
         r.bucket: (bytes(r.shared), bytes(r.hot))
-        for r in grams.groupBy("bucket").applyInPandas(_tables(bits), "bucket long, shared binary, hot binary").collect()  # 16.5 MB in all
+        for r in grams.groupBy("bucket").applyInPandas(_tables(bits, hot_least), "bucket long, shared binary, hot binary").collect()  # 17 MB in all
     }
-    none = (bytes(1 << max(0, TABLE_BITS - bits - 3)), bytes(1 << max(0, HOT_BITS - bits - 3)))
-    shared = tuple(b"".join(tables.get(b, none)[i] for b in range(1 << bits)) for i in (0, 1))
     sc = spark.sparkContext
-    run = _runs(sc.broadcast(shared), sc.broadcast(_splitters(slim, 4 * parts)), 4 * parts)
+    run = _runs(sc.broadcast(_joined_tables(tables, bits)), sc.broadcast(_splitters(slim, ranges)), ranges)
     found = slim.mapInArrow(run, _ROWS_SQL).groupBy("kind", "part").applyInPandas(_decided, _FOUND_SQL)
     by_doc = found.groupBy("doc_id", "th").agg(F.collect_list("payload").alias("payloads"))
     joined = every.join(by_doc, ["doc_id", "th"], "left").select("doc_id", "text", "payloads")
