@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 
 from tidemark.llm import toxicity
+from tidemark.llm.scratch import Scratch
 
 
 def brute(x, lo, hi):
@@ -141,7 +142,7 @@ def test_smoothed_rates_equal_the_formula(spark):
     rows = []
     for w, (t, n) in counts.items():
         rows.append((toxicity.hash_of(w), *[toxicity.hash_of("^" + w[:k]) if len(w) >= k else None for k in toxicity.PREFIXES], t, n))
-    units, spread = toxicity._units(spark.createDataFrame(rows, toxicity._COUNTS), 5.0, 1, 0.0, 0.3)
+    units, spread = toxicity._units(spark.createDataFrame(rows, toxicity._COUNTS), 5.0, 1, 0.0, 0.3, Scratch(spark, "test"))
     all_t, all_n = sum(t for t, _ in counts.values()) + 1, sum(n for _, n in counts.values()) + 1
     root = all_t / (all_t + all_n)
 

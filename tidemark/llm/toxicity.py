@@ -294,7 +294,7 @@ def _distinct(doc: np.ndarray, words: np.ndarray) -> np.ndarray:
     return order[new]
 
 
-def _units(counts: DataFrame, strength: float, least: int, step: float, drift: float) -> tuple[Units, list]:
+def _units(counts: DataFrame, strength: float, least: int, step: float, drift: float, scratch: Scratch) -> tuple[Units, list]:
     """Word counts -> the units that change a score, and a histogram of the scores
     of clean tokens. A unit whose score is within ``step`` of what its beginning
     gives is left out; all others stay, which the labelled rows bound.
@@ -317,14 +317,15 @@ def _units(counts: DataFrame, strength: float, least: int, step: float, drift: f
             own = own.join(last.select(F.col("h").alias("parent"), F.col("rate").alias("up")), "parent")  # noqa: F821
         else:
             own = own.withColumn("up", F.lit(root))
-        last = own.select("h", "t", "n", "up", rate(F.col("up")).alias("rate"))
+        last = scratch.stage(own.select("h", "t", "n", "up", rate(F.col("up")).alias("rate")), f"level{n}")
         levels = last if levels is None else levels.unionAll(last)
     deepest = F.coalesce(*[f"p{n}" for n in PREFIXES[::-1]])
     words = counts.select("h", "t", "n", deepest.alias("parent"))
     kids = words.where("parent is not null").groupBy("parent").agg(F.count("*").alias("kids"))
     parents = levels.select(F.col("h").alias("parent"), F.col("rate").alias("up")).join(kids, "parent")
-    above = join_unique(words.where("parent is not null"), parents, "parent", int(total[2]), "kids").select("h", "t", "n", "up")
+    above = join_unique(words.where("parent is not null"), scratch.stage(parents, "parents"), "parent", int(total[2]), "kids").select("h", "t", "n", "up")
     words = above.unionAll(words.where("parent is null").select("h", "t", "n", F.lit(root).alias("up"))).withColumn("rate", rate(F.col("up")))
+    words = scratch.stage(words, "rated")
     odds = math.log(root / (1 - root))
     score = lambda r: F.log(F.col(r) / (1 - F.col(r))) - odds
     units = levels.unionAll(words.select("h", "t", "n", "up", "rate"))
@@ -392,7 +393,7 @@ def fit(
     kinds = {r.toxic for r in rows.select("toxic").distinct().collect()}
     if kinds != {0, 1}:
         return model
-    model.units, spread = _units(counts, strength, least, step, drift)
+    model.units, spread = _units(counts, strength, least, step, drift, scratch)
     model.decay = _lambda(spread)
     schema = "toxic int, n long, best double, top double, sum double"
     seen = rows.mapInArrow(_scan(spark.sparkContext.broadcast(model), False), schema)
@@ -401,7 +402,7 @@ def fit(
     seen = rows.mapInArrow(_scan(spark.sparkContext.broadcast(model), True), schema)
     table = seen.groupBy(F.round(F.col("top") * 4).alias("a"), F.round(F.col("sum") * 4).alias("b"), "toxic").count().orderBy("a", "b", "toxic")
     model.weights = _logistic([(r.a / 4, r.b / 4, r.toxic, r["count"]) for r in table.collect()])  # bounded: one row a cell of the grid
-    scratch.drop("training", "words")
+    scratch.drop(*scratch.paths)
     return model
 
 
