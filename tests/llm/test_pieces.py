@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import pieces
 
@@ -99,3 +100,12 @@ def test_tables(spark):
     assert sorted(r.decoded for r in out) == sorted(t or "" for _, t, _ in rows)
     assert out[0].asDict().keys() == {"doc_id", "text", "piece_ids", "decoded"}
     assert pieces.encode(df.limit(0), pieces.model_path()).count() == 0
+
+
+def test_one_pass_equals_two(spark):
+    rows = [(1, None, "x"), (1, "", "x"), (2, "a b " * 30000, None), (2, "a ▁ b\x00é", "y")]
+    df, path = spark.createDataFrame(rows, "doc_id long, text string, decoded string"), pieces.model_path()
+    two = pieces.decode(pieces.encode(df, path), path).collect()
+    assert pieces.round_trip(df, path).select(*two[0].asDict()).collect() == two
+    assert pieces.round_trip(df.limit(0), path).count() == 0
+    assert pieces.round_trip(df.select(F.expr("doc_id as text"), "decoded"), path, "text", back="text").columns == ["decoded", "piece_ids", "text"]

@@ -268,40 +268,61 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _encoded(path: str, name: str):
+def _encoded(path: str, names: tuple[str, ...], kept: int, at: int):
+    """Appends the ids of the texts in column ``at`` to the first ``kept`` columns,
+    and, where a second name is given, the text that the ids decode to."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces_of(path)
         for b in sliced(batches):
-            ids = model.batch(b.column(b.num_columns - 1).to_pylist())
-            yield pa.record_batch([*b.columns[:-1], pa.array(ids, pa.binary())], [*b.schema.names[:-1], name])
+            ids = model.batch(b.column(at).to_pylist())
+            new = [pa.array(ids, pa.binary())]
+            if len(names) > 1:
+                new.append(pa.array([model.decode(np.frombuffer(i, "<u2")) for i in ids], pa.string()))
+            yield pa.record_batch([*b.columns[:kept], *new], [*b.schema.names[:kept], *names])
 
     return run
 
 
-def _decoded(path: str, name: str):
+def _decoded(path: str, names: tuple[str, ...], kept: int, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces_of(path)
         for b in sliced(batches):
-            texts = [model.decode(np.frombuffer(i or b"", "<u2")) for i in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.record_batch([*b.columns[:-1], pa.array(texts, pa.string())], [*b.schema.names[:-1], name])
+            texts = [model.decode(np.frombuffer(i or b"", "<u2")) for i in b.column(at).to_pylist()]
+            yield pa.record_batch([*b.columns[:kept], pa.array(texts, pa.string())], [*b.schema.names[:kept], *names])
 
     return run
 
 
-def _mapped(df: DataFrame, keep: list[str], last, run, to: str, kind: str) -> DataFrame:
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*[F.col(f"`{c}`") for c in keep], last.alias("__in")).mapInArrow(run, f"{fields}, `{to}` {kind}")
+def _mapped(df: DataFrame, path: str, make, source: str, kind: str, to: dict[str, str]) -> DataFrame:
+    """``df`` and the columns ``to`` (name -> type) that ``make`` gives of ``source``,
+    a column of type ``kind`` or cast to it. It is sent once if it stays anyway."""
+    keep = [c for c in df.columns if c not in to]
+    sent = [F.col(f"`{c}`") for c in keep]
+    if source in keep and df.schema[source].dataType.simpleString() == kind:
+        at = keep.index(source)
+    else:
+        at = len(keep)
+        sent.append(F.col(f"`{source}`").cast(kind).alias("__in"))
+    types = {c: df.schema[c].dataType.simpleString() for c in keep} | to
+    fields = ", ".join(f"`{c}` {t}" for c, t in types.items())
+    return df.select(*sent).mapInArrow(make(path, tuple(to), len(keep), at), fields)
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", to: str = "piece_ids") -> DataFrame:
     """``docs`` and, as binary column ``to``, each text's ids (little-endian
     unsigned 16-bit integers). Null and empty texts have none; a column of that
     name is replaced; an empty table stays empty."""
-    keep = [c for c in docs.columns if c != to]
-    return _mapped(docs, keep, F.col(f"`{text_col}`").cast("string"), _encoded(path, to), to, "binary")
+    return _mapped(docs, path, _encoded, text_col, "string", {to: "binary"})
 
 
 def decode(coded: DataFrame, path: str, ids_col: str = "piece_ids", to: str = "decoded") -> DataFrame:
     """``coded`` and, as column ``to``, the text of the ids; null ids give empty text."""
-    keep = [c for c in coded.columns if c != to]
-    return _mapped(coded, keep, F.col(f"`{ids_col}`"), _decoded(path, to), to, "string")
+    return _mapped(coded, path, _decoded, ids_col, "binary", {to: "string"})
+
+
+def round_trip(docs: DataFrame, path: str, text_col: str = "text", to: str = "piece_ids", back: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one pass: a worker decodes the ids it has just
+    made, so no second worker holds the model. Null text gives no ids and empty
+    text; columns of these names are replaced."""
+    return _mapped(docs, path, _encoded, text_col, "string", {to: "binary", back: "string"})

@@ -38,9 +38,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = pieces.model_path()
-    coded = pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), path)
-    return pieces.decode(coded, path).select(
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return pieces.round_trip(docs, pieces.model_path()).select(
         "doc_id",
         (F.octet_length("piece_ids") / 2).cast("long").alias("n_pieces"),
         F.crc32("piece_ids").alias("ids_crc32"),

@@ -438,17 +438,19 @@ def _tokens(text: str) -> Iterator[tuple[int, int]]:
 _PASSAGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("strength", pa.float64())]))
 
 
-def _scored(model, names: tuple[str, str]):
+def _scored(model, names: tuple[str, str], kept: int, at: int):
+    """Appends score and passages of the texts in column ``at`` to the first ``kept`` columns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = Scanner(model.value)
         for b in sliced(batches):
             scores, found = [], []
-            texts = b.column(b.num_columns - 1).to_pylist()
+            texts = b.column(at).to_pylist()
             for text, (tokens, x) in zip(texts, scan.tokens(texts), strict=True):
                 best, seen = scan.evidence(tokens, x)
                 scores.append(scan.model.score(*scan.features(len(x), best, seen)))
                 found.append(_places(text, seen) if seen else [])
-            yield pa.record_batch([*b.columns[:-1], pa.array(scores, pa.float64()), pa.array(found, _PASSAGES)], [*b.schema.names[:-1], *names])
+            yield pa.record_batch([*b.columns[:kept], pa.array(scores, pa.float64()), pa.array(found, _PASSAGES)], [*b.schema.names[:kept], *names])
 
     return run
 
@@ -460,10 +462,14 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), na
     have no tokens, the lowest score and no passages; equal texts, long or short,
     score alike; repeated rows stay; no rows give no rows."""
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__text"))
+    sent, at = [F.col(f"`{c}`") for c in keep], len(keep)
+    if "text" in keep and docs.schema["text"].dataType.simpleString() == "string":
+        at = keep.index("text")  # sent once
+    else:
+        sent.append(F.col("text").cast("string").alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return slim.mapInArrow(
-        _scored(shared, names), f"{fields}, {names[0]} double, {names[1]} array<struct<start:int,end:int,strength:double>>"
+    return docs.select(*sent).mapInArrow(
+        _scored(shared, names, len(keep), at), f"{fields}, {names[0]} double, {names[1]} array<struct<start:int,end:int,strength:double>>"
     )
 
 
