@@ -396,12 +396,16 @@ def fit(
     model.units, spread = _units(counts, strength, least, step, drift, scratch)
     model.decay = _lambda(spread)
     schema = "toxic int, n long, best double, top double, sum double"
-    seen = rows.mapInArrow(_scan(spark.sparkContext.broadcast(model), False), schema)
+    shared = spark.sparkContext.broadcast(model)
+    seen = rows.mapInArrow(_scan(shared, False), schema)
     mean = seen.where("toxic = 0 and n > 0").agg(F.avg(F.col("n") * F.exp(-model.decay * F.col("best")))).first()[0]
+    shared.destroy()  # its only result is in hand
     model.scale = 1 / max(float(mean or 1.0), 1e-9)
-    seen = rows.mapInArrow(_scan(spark.sparkContext.broadcast(model), True), schema)
+    shared = spark.sparkContext.broadcast(model)
+    seen = rows.mapInArrow(_scan(shared, True), schema)
     table = seen.groupBy(F.round(F.col("top") * 4).alias("a"), F.round(F.col("sum") * 4).alias("b"), "toxic").count().orderBy("a", "b", "toxic")
     model.weights = _logistic([(r.a / 4, r.b / 4, r.toxic, r["count"]) for r in table.collect()])  # bounded: one row a cell of the grid
+    shared.destroy()
     scratch.drop(*scratch.paths)
     return model
 
