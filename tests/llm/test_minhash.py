@@ -2,6 +2,8 @@ import itertools
 import random
 import re
 
+import numpy as np
+
 from tidemark.llm import components, minhash
 from tidemark.llm.components import connected_components
 from tidemark.llm.minhash import near_duplicates
@@ -100,3 +102,28 @@ def test_components_with_a_star(spark, monkeypatch):
     got = connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test"))
     want = {i: 0 for i in [500, *range(40), *range(1000, 1040, 3)]} | {i: 2000 for i in range(2000, 2007)}
     assert {r.node: r.component for r in got.collect()} == {n: c for n, c in want.items() if n != c}
+
+
+def test_components_of_few_links_need_no_round_of_joins(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7), (None, 3)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    # the rounds join through join_unique; few links are solved without it
+    monkeypatch.setattr(components, "join_unique", lambda *a, **b: (_ for _ in ()).throw(AssertionError("a round of joins")))
+    by_arrays = connected_components(edges, Scratch(spark, "test"))
+    arrays = sorted(map(tuple, by_arrays.collect()))
+    assert by_arrays.schema.simpleString() == "struct<node:bigint,component:bigint>"
+    monkeypatch.undo()
+    monkeypatch.setattr(components, "FEW", 0)
+    assert arrays == sorted(map(tuple, connected_components(edges, Scratch(spark, "test")).collect()))
+    least = {}
+    for a, b in [p for p in pairs if None not in p] * 80:
+        least[a] = least[b] = min(least.get(a, a), least.get(b, b))
+    assert dict(arrays) == {k: v for k, v in least.items() if k != v}
+
+
+def test_a_step_of_many_links_keeps_no_scratch_table(spark, monkeypatch):
+    monkeypatch.setattr(components, "FEW", 0)
+    scratch = Scratch(spark, "test")
+    assert connected_components(spark.createDataFrame([(1, 2), (2, 3), (9, 8)], "a long, b long"), scratch).count() == 3
+    assert not {"least", "large", "low"} & set(scratch.paths)

@@ -152,7 +152,7 @@ def _across(rest: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     rest = scratch.stage(rest, "open")
     total = rest.agg(F.sum(F.size("s"))).first()[0] or 0
     words = rest.select("node", "label", F.size("s").alias("n"), F.explode("s").alias("w"))
-    often = words.groupBy("w").agg(F.count("*").alias("df"))
+    often = scratch.stage(words.groupBy("w").agg(F.count("*").alias("df")), "often")
     order = Window.partitionBy("node").orderBy("df", "w")
     front = (
         join_unique(words, often, "w", total, "df", SALT)
@@ -161,12 +161,13 @@ def _across(rest: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
         .select("w", "node", "label", "n", "i")
     )
     front = scratch.stage(front, "front")
+    scratch.drop("often")
     most = front.groupBy("w", "label").agg(F.count("*").alias("c")).groupBy("w").agg(
         F.max_by("label", "c").alias("most"), F.count("*").alias("labels"), F.sum("c").alias("rows"), F.max("c").alias("top")
     )
     salts = F.ceil((F.col("rows") - F.col("top")) / SALT).cast("int")
     most = most.select("w", "most", "labels", "rows", F.greatest(salts, F.lit(1)).alias("salts"))
-    front = join_unique(front, most, "w", front.count(), "rows", SALT).where("labels > 1")
+    front = join_unique(front, scratch.stage(most, "most"), "w", front.count(), "rows", SALT).where("labels > 1")
     left = front.where("label <> most").select("w", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), *[F.col(c).alias(f"{c}0") for c in ("node", "label", "n", "i")])
     right = front.select("w", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(c).alias(f"{c}1") for c in ("node", "label", "n", "i")])
     fits = (
@@ -238,6 +239,7 @@ def near_duplicates(
     links = scratch.stage(_verified(star, sets, percent), "linked0")
     found = connected_components(links, scratch)
     labelled = shared.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    labelled = scratch.stage(labelled, "labelled")
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("m0"), F.max("label").alias("m1")).where("m0 < m1").select("key")
     rest = labelled.join(open_keys, "key", "left_semi").select("node", "label").distinct()
     across = _across(rest.join(sets, "node"), percent, scratch).join(star, ["a", "b"], "left_anti")
